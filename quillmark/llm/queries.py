@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .language import identify_documents
+from .quality import judge
 from .simhash import near_duplicates
 from .token_count import count_tokens
 
@@ -14,11 +16,19 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op7_quality, op8_language, op9_simhash)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import leaks_by_document
 from .language import identify_documents
 from .quality import judge
 from .simhash import near_duplicates
@@ -16,6 +17,10 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks_by_document(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -28,7 +33,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op7_quality, op8_language, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op6_decontaminate, op7_quality, op8_language, op9_simhash)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}

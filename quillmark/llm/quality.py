@@ -71,18 +71,19 @@ def _repeat_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(F.size(F.array_distinct(covered)))
 
 
-def with_words(docs: DataFrame) -> DataFrame:
+def with_words(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), split_words(text).alias("words"))
+    return docs.select(*keep, F.col("doc_id").cast("long"), text.alias("text"), split_words(text).alias("words"))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, words and the base counts of every row."""
+def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, words and the base counts of every row, and the columns to keep."""
     words, n = F.col("words"), F.size("words")
     windows = F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(" " + _SPACES)) != "")
-    counted = with_words(docs).select("doc_id", "text", "words", windows.alias("windows"), lines.alias("lines"))
+    counted = with_words(docs, keep).select(*keep, "doc_id", "text", "words", windows.alias("windows"), lines.alias("lines"))
     return counted.select(
+        *keep,
         "doc_id",
         "words",
         n.cast("long").alias("n_words"),
@@ -115,8 +116,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     return [round(math.log(g / all_good) - math.log(r / all_raw), 4) for g, r in zip(good, raw)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and kept for every row of docs."""
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and kept for every row of docs, and the columns to keep."""
     model = F.split(F.lit(",".join(map(str, log_ratios(docs, labels)))), ",").cast("array<double>")
     words = F.col("words")
 
@@ -128,10 +129,16 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     pairs = F.arrays_zip(words.alias("w"), F.slice("words", 2, F.size("words")).alias("x"))
     total = F.aggregate(pairs, F.lit(0.0), gain)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    counts = base_counts(docs)
+    counts = base_counts(docs, keep)
     scored = counts.select(
         *(c for c in counts.columns if c != "words"),
         failed.alias("base_failed"),
         F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("score"),
     )
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept."""
+    packed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"), "doc_id", "text")
+    return judge(packed, labels, keep=("doc",)).where("kept").select("doc.*")

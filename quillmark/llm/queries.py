@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontaminate import leaks_by_document
 from .language import identify_documents
+from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
 from .token_count import count_tokens
@@ -33,7 +34,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op6_decontaminate, op7_quality, op8_language, op9_simhash)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_count, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}

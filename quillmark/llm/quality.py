@@ -135,7 +135,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep
         failed.alias("base_failed"),
         F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("score"),
     )
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # Behind a generator, as a filter on the results, pushed down into the expressions, would split the text for every word.
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,12 +12,18 @@ from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
 from .token_count import count_tokens
+from .url_filter import ORACLE as URL_ORACLE
+from .url_filter import judge_urls, rule_table
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_by_document(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": URL_ORACLE}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import leaks_by_document
+from .html_extract import extract_text
 from .language import identify_documents
 from .packing import pack
 from .quality import judge
@@ -24,6 +25,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_by_document(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_html_extract, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op2_url_filter": URL_ORACLE}

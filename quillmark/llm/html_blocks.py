@@ -30,15 +30,19 @@ class _Page:
 
     def __init__(self, known: Callable[[str], bool]):
         self.known, self.stack, self.active = known, [], Counter()
+        self.near: list[tuple[int, list[str]]] = []
 
     def open(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE and any(t == "p" for t, _ in self.stack[-4:]):
             self.close("p")
         for other in _ENDS.get(tag, ()):
             self._close_sibling(other)
-        given = [f for f in {"under:" + tag, *_names(attributes)} if self.known(f)]
+        names = _names(attributes)
+        given = [f for f in {"under:" + tag, *names} if self.known(f)]
         self.active.update(given)
         self.stack.append((tag, given))
+        if tag in _HOLDERS or names:  # what the nearest such element says counts besides what all of them say
+            self.near.append((len(self.stack), [f for f in {"near:" + x.removeprefix("in:") for x in (tag, *names)} if self.known(f)]))
 
     def _close_sibling(self, tag: str) -> None:
         for t, _ in reversed(self.stack):
@@ -53,6 +57,8 @@ class _Page:
             return
         while True:
             t, given = self.stack.pop()
+            if self.near and self.near[-1][0] > len(self.stack):
+                self.near.pop()
             for f in given:
                 self.active[f] -= 1
                 if not self.active[f]:
@@ -65,7 +71,7 @@ class _Page:
         n, share = text.count(" ") + 1, linked / max(1, len(text))
         features = [f"is:{own}", f"words:{sum(n > w for w in _WORDS)}", f"links:{(share > 0) + (share > 0.3) + (share > 0.7)}", "stop" if text[-1] in ".!?…。" else "no-stop"]
         features += ["copyright"] * ("©" in text) + ["first"] * first
-        return text, [*self.active, *filter(self.known, features)]
+        return text, [*self.active, *(self.near[-1][1] if self.near else ()), *filter(self.known, features)]
 
 
 def blocks(page: str, known: Callable[[str], bool] = lambda _: True) -> Iterator[tuple[str, list[str]]]:

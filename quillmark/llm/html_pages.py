@@ -87,11 +87,13 @@ class _Writer:
     def article(self) -> str:
         rng = self.rng
         inner = f"<h1>{MARK}{self.words(1, 10)}</h1>" if self.maybe(0.85) else ""
+        if self.maybe(0.1):
+            inner += MARK + self.sentence() + "<br>" + MARK + self.sentence()
         for _ in range(rng.choice([1, 2, 4, 8, 12])):
             inner += self.paragraph()
-            if self.maybe(0.08):
+            if self.maybe(0.15):
                 inner += self.around(rng.choice(["ad", "aside", "form", "notice", "ad"]))
-        if self.maybe(0.15):
+        if self.maybe(0.3):
             inner += self.around("comments")
         name = rng.choice(["article"] * 4 + ["main", "div", "div", "section"])
         mark = f' {rng.choice(["class", "class", "id"])}="{rng.choice(_ARTICLE)}"' if name != "article" or self.maybe(0.3) else ""

@@ -9,6 +9,7 @@ from .common import read_table
 from .decontaminate import leaks_by_document
 from .html_extract import extract_text
 from .language import identify_documents
+from .lm_score import score_documents
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
@@ -29,6 +30,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_by_document(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_html_extract, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_html_extract, op5_lm_score, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op2_url_filter": URL_ORACLE}

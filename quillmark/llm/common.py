@@ -8,10 +8,15 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch of whole documents.
+BATCH_BYTES = 16 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; Spark opens the path, so any store that it knows will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -52,10 +57,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def documents_for_python(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as one struct `doc`, and `text` beside it if it is not among them.
+
+    Documents that go through Python whole come in batches of BATCH_BYTES at most, unless the
+    session has a setting of its own, as a worker holds a batch several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(name) in {"64m", "64MB", "67108864b", "67108864"}:
+        docs.sparkSession.conf.set(name, BATCH_BYTES)
+    doc = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc")
+    return docs.select(doc) if "text" in keep else docs.select(doc, F.col("text").cast("string").alias("text"))
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of documents_for_python."""
+    return batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("doc"), "text")
+
+
 def slices_of(texts: pa.Array, most_bytes: int = 8 << 20):
     """(start, stop) ranges of rows whose texts take about most_bytes together, one row at least."""
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
         if held and held + n > most_bytes:
             yield start, i
             start, held = i, 0

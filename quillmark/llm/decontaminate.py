@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash
+from .common import documents_for_python, stash, texts_of
 
 WINDOW, BLOCK_WINDOWS = 13, 200_000
 #: A-Z lower-cased, a space for each byte that is in no word. Bytes from 128 make up the characters beyond ASCII.
@@ -102,52 +103,53 @@ def corpus_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, i
     return {bytes(r.word): r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+_FOUND = "spans array<long>, items array<long>, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
 def _scan(docs: DataFrame, block: Block) -> DataFrame:
-    """docs (doc, text, spans, items, n_words) with the block's hits added to spans and items."""
+    """doc, text and what was found so far, with the block's hits added."""
     held = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_WINDOWS windows
+    schema = docs.drop("spans", "items").schema
+    for field in T.StructType.fromDDL(_FOUND):
+        schema = schema.add(field)
+
+    def judged(words: list[bytes], spans: list[int], items: list[int]) -> tuple:
+        found, owners = held.value.hits(words)
+        if found:
+            spans = spans + [x for span in found for x in span]
+            items = sorted({*items, *(x for x in owners if x is not None)})
+        n, hit = len(words), _covered(list(zip(spans[::2], spans[1::2])))
+        sha = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+        return spans, items, n, hit, len(items), sha, hit > 0 and 20 * hit >= n
 
     def scanned(batches):
         for batch in batches:
-            spans, items, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-            for i, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                sizes.append(len(words))
-                found, owners = held.value.hits(words)
-                if found:
-                    spans[i] += [x for span in found for x in span]
-                    items[i] = sorted({*items[i], *(x for x in owners if x is not None)})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=batch.schema.names)
+            rows = zip(texts_of(batch), batch.column("spans").to_pylist(), batch.column("items").to_pylist())
+            found = [judged(words_of(t.as_py()), spans, items) for t, spans, items in rows]
+            carried = [batch.column(c) for c in schema.names if c in ("doc", "text")]
+            columns = zip(*found) if found else [[]] * 7
+            kinds = [pa.list_(pa.int64())] * 2 + [pa.int64()] * 3 + [pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*carried, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return docs.mapInArrow(scanned, docs.schema)
+    return docs.mapInArrow(scanned, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of docs as the struct `doc`, with n_words, n_hit, n_items, items_sha256, contaminated."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as the struct `doc`, with n_words, n_hit, n_items, items_sha256, contaminated."""
     none = F.array().cast("array<long>")
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"), F.col("text").cast("string").alias("text"), none.alias("spans"), none.alias("items"), F.lit(0).cast("long").alias("n_words"))
+    rows = documents_for_python(docs, keep).withColumns({"spans": none, "items": none})
     for k, windows in enumerate(window_blocks(benchmark)):
         frequency = corpus_frequencies(docs, {w for window in windows for w in window})
-        rows = _scan(stash(rows) if k else rows, Block(windows, frequency))
-
-    def summed(batches):
-        for batch in batches:
-            words, items = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            hit = [_covered(list(zip(s[::2], s[1::2]))) for s in batch.column(2).to_pylist()]
-            sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            flags = [h > 0 and 20 * h >= n for h, n in zip(hit, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, hit, list(map(len, items)))), pa.array(sha), pa.array(flags)], names=["doc", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    schema = rows.select("doc").schema
-    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
-        schema = schema.add(name, kind)
-    return rows.select("doc", "n_words", "spans", "items").mapInArrow(summed, schema)
+        found = rows.select(*(c for c in rows.columns if c in ("doc", "text", "spans", "items")))
+        rows = _scan(stash(found) if k else found, Block(windows, frequency))
+    return rows.drop("text", "spans", "items")
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    return find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"]).select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated."""
-    return find_leaks(docs, benchmark).where("not contaminated").select("doc.*")
+    return find_leaks(docs, benchmark, docs.columns).where("not contaminated").select("doc.*")

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, slices_of
+from .common import documents_for_python, hash_sample, texts_of
 
 BUCKETS, TRAIN_ROWS, CENTROIDS, ROUNDS, REJECT = 1 << 13, 600, 4, 10, 0.75
 #: Bytes of a text that are counted at once.
 _PART = 1 << 22
+_TEXTS_AT_ONCE = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -122,26 +123,25 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
     return Model(names, idf, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(names)), [len(p) for p in parts]))
 
 
-def identify(docs: DataFrame, model: Model | None, reject: float = REJECT) -> DataFrame:
-    """All columns of docs as the struct `doc`, with lang_pred, score and rejected."""
-    model_ = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x BUCKETS floats
+def identify(docs: DataFrame, model: Model | None, keep: list[str], reject: float = REJECT) -> DataFrame:
+    """The columns to keep as the struct `doc`, with lang_pred, score and rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x BUCKETS floats
 
     def predicted(batches):
-        m = model_.value
+        m = held.value
         for batch in batches:
-            texts = batch.column(1)
-            for lo, hi in slices_of(texts):
-                part = texts.slice(lo, hi - lo).to_pylist()
+            texts = texts_of(batch)
+            lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+            for lo in range(0, len(texts), _TEXTS_AT_ONCE):
+                part = texts.slice(lo, _TEXTS_AT_ONCE).to_pylist()
                 judged = [i for i, t in enumerate(part) if m and t and has_letter(t)]
-                lang, score = np.array(["und"] * len(part), dtype=object), np.zeros(len(part))
-                for k in range(0, len(judged), 1024):
-                    at = judged[k : k + 1024]
-                    lang[at], score[at] = m.predict([part[i] for i in at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (1 - score > reject))], names=["doc", "lang_pred", "score", "rejected"])
+                if judged:
+                    lang[lo + np.array(judged)], score[lo + np.array(judged)] = m.predict([part[i] for i in judged])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (1 - score > reject))], names=["doc", "lang_pred", "score", "rejected"])
 
-    packed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"), F.col("text").cast("string").alias("text"))
-    schema = packed.select("doc").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return packed.mapInArrow(predicted, schema)
+    rows = documents_for_python(docs, keep)
+    schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(predicted, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,10 +152,10 @@ def held_out(doc_id: Column) -> Column:
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: learnt from the rows that are not held out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    found = identify(docs.select("doc_id", "text"), train(docs, ~held_out(F.col("doc_id"))))
+    found = identify(docs, train(docs, ~held_out(F.col("doc_id"))), ["doc_id"])
     return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised."""
-    return identify(docs, train(docs, ~held_out(F.col("doc_id")))).where("not rejected").select("doc.*")
+    return identify(docs, train(docs, ~held_out(F.col("doc_id"))), docs.columns).where("not rejected").select("doc.*")

@@ -34,6 +34,8 @@ from .common import hash_sample, slices_of, stash
 WORD_SHARE, PAIR_SHARE, PAIR_WEIGHT, TARGET = 2.0**-17, 2.0**-18, 0.7, 16384
 #: Symbols before a text and for words outside the vocabulary.
 START, OTHER = 0, 1
+#: Bytes of text that are counted or scored at once.
+_SLICE_BYTES = 6 << 20
 _WORD, _CONTEXT, _PAIR = 0, 1, 2
 
 
@@ -50,7 +52,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            for lo, hi in slices_of(batch.column(0), 32 << 20):
+            for lo, hi in slices_of(batch.column(0), _SLICE_BYTES):
                 counts = _words(batch.column(0).slice(lo, hi - lo))[0].value_counts()
                 yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["word", "n"])
 
@@ -80,7 +82,7 @@ def _gram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def counted(batches):
         size = known.value.size
         for batch in batches:
-            for lo, hi in slices_of(batch.column(0), 32 << 20):
+            for lo, hi in slices_of(batch.column(0), _SLICE_BYTES):
                 now, before, offsets = known.value.symbols(batch.column(0).slice(lo, hi - lo))
                 target = np.repeat(pc.fill_null(batch.column(1).slice(lo, hi - lo), 0).to_numpy(), np.diff(offsets))
                 for kind, codes in ((_WORD, now), (_CONTEXT, before), (_PAIR, before * size + now)):
@@ -144,7 +146,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches):
         vocabulary, codes, models = held.value
         for batch in batches:
-            for lo, hi in slices_of(batch.column(1), 32 << 20):
+            for lo, hi in slices_of(batch.column(1), _SLICE_BYTES):
                 now, before, offsets = vocabulary.symbols(batch.column(1).slice(lo, hi - lo))
                 code = before * size + now
                 at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))

@@ -20,9 +20,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import slices_of, stash
+from .common import documents_for_python, stash, texts_of
 from .components import connected_components
 from .vp_tree import Forest, Router, close_pairs
 
@@ -48,18 +47,17 @@ def simhash(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `fp`, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as the struct `doc`, and `fp`, the fingerprint as a signed long."""
 
     def hashed(batches):
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1), "").cast(pa.large_binary())
-            for lo, hi in slices_of(texts):
-                fps = np.array([simhash(t) for t in texts.slice(lo, hi - lo).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(fps.view(np.int64))], names=[*keep, "fp"])
+            texts = pc.fill_null(texts_of(batch), "").cast(pa.large_binary())
+            fps = np.fromiter((simhash(t.as_py()) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
-    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(hashed, schema)
+    rows = documents_for_python(docs, keep)
+    return rows.mapInArrow(hashed, rows.select("doc").schema.add("fp", "long"))
 
 
 def close_links(nodes: DataFrame, reach: int = LINK_BITS, leaf_nodes: int = LEAF_NODES) -> DataFrame:
@@ -98,7 +96,7 @@ def close_links(nodes: DataFrame, reach: int = LINK_BITS, leaf_nodes: int = LEAF
 
 def near_duplicates(docs: DataFrame, reach: int = LINK_BITS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
-    prints = stash(fingerprints(docs.select(F.col("doc_id").cast("long"), "text")))
+    prints = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]).select("doc.doc_id", "fp"))
     return _labelled(prints, reach).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -130,8 +128,7 @@ def keep_first(docs: DataFrame, reach: int = LINK_BITS) -> DataFrame:
 
     Of rows that share this doc_id, one stays. A component without any doc_id keeps one row.
     """
-    packed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long"), "text")
-    whole = stash(fingerprints(packed, keep=("doc", "doc_id")).withColumn("row", F.monotonically_increasing_id()))
-    labelled = _labelled(whole.select("doc_id", "fp", "row"), reach)
+    whole = stash(fingerprints(docs, docs.columns).withColumn("row", F.monotonically_increasing_id()))
+    labelled = _labelled(whole.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", "row"), reach)
     first = labelled.where("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
     return whole.join(stash(first).hint("shuffle_hash"), "row", "left_semi").select("doc.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontaminate import leaks_by_document
 from .html_extract import extract_text
+from .id_files import through_files
 from .language import identify_documents
 from .lm_score import score_documents
 from .packing import pack
@@ -30,6 +31,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -54,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_html_extract, op5_lm_score, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_html_extract, op4_id_files, op5_lm_score, op6_decontaminate, op7_quality, op8_language, op9_simhash, op10_packing)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op2_url_filter": URL_ORACLE}

@@ -106,24 +106,24 @@ class _Models:
         guess = [self.followers[k][slots[k]] for k in (0, 1)]
         sure = [self.sure[k][slots[k]] for k in (0, 1)]
         record = [lane * 16 + sure[k] * 4 for k in (0, 1)]
-        alive = [sure[k] > 0 for k in (0, 1)]
+        alive = [np.flatnonzero(sure[k]) for k in (0, 1)]
         found = np.zeros(len(lane), np.int64)
         for rank, shift in enumerate((12, 8, 4, 0)):
             at = lane * 4369 + (found + _NODES[rank])
-            rows = self.nibbles[at].astype(np.int64)
-            total = self.totals[at].astype(np.int64)
+            rows = self.nibbles[at].astype(np.int32)
             nibble, tried = [], []
+            for k in (0, 1):  # alive: lanes whose prediction has held for the higher nibbles
+                live = alive[k]
+                nibble.append(guess[k][live] >> shift & 15)
+                tried.append(record[k][live] + rank)
+                total = self.totals[at[live]]
+                rows[live, nibble[k]] += np.minimum(total * self.hits[k][tried[k]] // self.misses[k][tried[k]], _MOST_GAIN * total)
+            symbol = coder.code(lane, rows, rows.cumsum(axis=1, dtype=np.int32), None if ids is None else ids >> shift & 15)
             for k in (0, 1):
-                nibble.append(guess[k] >> shift & 15)
-                tried.append(record[k] + rank)
-                gain = np.minimum(total * self.hits[k][tried[k]] // self.misses[k][tried[k]], _MOST_GAIN * total)
-                rows[lane, nibble[k]] += np.where(alive[k], gain, 0)
-            symbol = coder.code(lane, rows, rows.cumsum(axis=1), None if ids is None else ids >> shift & 15)
-            for k in (0, 1):
-                right = nibble[k] == symbol
-                self.hits[k][tried[k]] += alive[k] & right
-                self.misses[k][tried[k]] += alive[k] & ~right
-                alive[k] = alive[k] & right
+                right = nibble[k] == symbol[alive[k]]
+                self.hits[k][tried[k][right]] += 1
+                self.misses[k][tried[k][~right]] += 1
+                alive[k] = alive[k][right]
             self.nibbles[at, symbol] += _RAISE
             self.totals[at] += _RAISE
             if len(over := at[self.totals[at] > _LIMIT]):

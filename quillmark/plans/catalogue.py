@@ -372,3 +372,56 @@ def union_extend(spark, sf_dir):
 @_query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10")
 def preview_limit(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(10)
+
+
+#: Rows that one rendered file holds in the round trips.
+_FILE_ROWS = 50
+
+
+def _files(rows: DataFrame, key: str, text: str, separator: str) -> DataFrame:
+    """`text` of files of _FILE_ROWS neighbouring keys each, every row rendered in key order."""
+    listed = rows.groupBy(F.floor(F.col(key) / _FILE_ROWS).alias("file")).agg(F.sort_array(F.collect_list(F.struct(key, text))).alias("rows"))
+    return listed.select("file", F.array_join(F.transform("rows", lambda r: r[text]), separator).alias("text"))
+
+
+@_query("""SELECT lower(p_name || '_' || p_partkey) AS id, p_type || chr(9) || '\\' || p_brand AS name_cn, p_name || ' "' || p_size || '"' AS name_en, p_name || ' "' || p_size || '".png' AS item_img1 FROM part""")
+def po_roundtrip(spark, sf_dir):
+    from ..sources import po
+    from .tables import NAMES, item_rows
+
+    part = _read(spark, sf_dir, "part")
+    msgstr = F.concat("p_type", F.lit("\t\\"), "p_brand")
+    entry = po.entry_text(F.concat(F.lit(NAMES), F.upper("p_name"), F.lit("_"), F.col("p_partkey").cast("string")), F.concat("p_name", F.lit(' "'), F.col("p_size").cast("string"), F.lit('"')), msgstr)
+    files = _files(part.select("p_partkey", entry.alias("t")), "p_partkey", "t", "\n\n")
+    return item_rows(po.read_entries(files, "text")).drop("pos")
+
+
+@_query(
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SLOT_ORDER}) AS i FROM lineitem), w AS (SELECT l_orderkey, """
+    + ", ".join(f"max(CASE WHEN i = {i} THEN 'p' || l_partkey END) AS ingredient{i}, max(CASE WHEN i = {i} THEN CAST(round(l_quantity) AS INTEGER) END) AS amount{i}" for i in range(1, 7))
+    + """ FROM r GROUP BY l_orderkey) SELECT 'order_' || l_orderkey AS recipe_name, w.* EXCLUDE (l_orderkey), CASE WHEN l_orderkey % 2 = 0 THEN 'thing' ELSE 'order_' || l_orderkey END AS product,
+    CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 1 END AS numtogive, 'TECH.' || CASE WHEN l_orderkey % 5 = 0 THEN 'NONE' ELSE 'MAGIC_TWO' END AS tech, CASE WHEN l_orderkey % 7 = 0 THEN true END AS nounlock FROM w"""
+)
+def recipe_roundtrip(spark, sf_dir):
+    from ..sources import lua
+    from .tables import RECIPE_TABLE, recipe_rows
+
+    k = F.col("l_orderkey")
+    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c.strip()) for c in _SLOT_ORDER.split(","))))).alias("items"))
+    calls = F.array_join(F.transform("items", lambda i: F.concat(F.lit('Ingredient("p'), i["l_partkey"].cast("string"), F.lit('", '), F.round(i["l_quantity"]).cast("int").cast("string"), F.lit(")"))), ", ")
+    options = F.concat_ws(", ", F.when(k % 2 == 0, F.lit('product = "thing"')), F.when(k % 3 == 0, F.lit("numtogive=2")), F.when(k % 7 == 0, F.lit("nounlock = true")))
+    name = F.concat(F.lit('Recipe2("order_'), k.cast("string"), F.lit('", {'))
+    tech = F.concat(F.lit("}, TECH."), F.when(k % 5 == 0, "NONE").otherwise("MAGIC_TWO"), F.lit(", {"))
+    call = F.concat(name, calls, tech, options, F.lit("})"))
+    files = _files(items.select("l_orderkey", call.alias("t")), "l_orderkey", "t", "\n-- next\n")
+    wanted = [n for n in RECIPE_TABLE.names() if n.startswith(("ingredient", "amount"))]
+    return recipe_rows(lua.read_recipes(files, "text")).select("recipe_name", *wanted, "product", "numtogive", "tech", "nounlock")
+
+
+@_query("SELECT n_nationkey, CAST(23 + length(CAST(n_nationkey AS VARCHAR)) AS BIGINT) AS start_byte, 'T.wanted = { name = \"' || n_name || '\", 1 }' AS content, false AS is_local FROM nation")
+def lua_span_roundtrip(spark, sf_dir):
+    from ..sources import lua
+
+    nation = _read(spark, sf_dir, "nation")
+    source = F.concat(F.lit("-- T.wanted\nlocal a = "), F.col("n_nationkey").cast("string"), F.lit("\n"), F.lit('T.wanted = { name = "'), "n_name", F.lit('", 1 }\nT.other = function() T.wanted = 2 end\n'))
+    return lua.read_spans(nation.select("n_nationkey", source.alias("text")), "text", "T.wanted", None, "n_nationkey").select("n_nationkey", "start_byte", "content", "is_local")

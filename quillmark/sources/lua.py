@@ -410,10 +410,11 @@ def register(spark: SparkSession) -> None:
 
 def read_recipes(files: DataFrame, text: str, *carry: str) -> DataFrame:
     """The recipes of each file's text, and columns to carry along. One call for each file."""
-    return files.lateralJoin(lua_recipes(F.col(text).outer()).alias("recipe")).select(*carry, *(c.split()[0] for c in ("pos", "name", "ingredients", "tech", *TEXT_OPTIONS, "numtogive", "min_spacing", *FLAG_OPTIONS)))
+    carried = (F.col(f"file.{c}") for c in carry)
+    return files.alias("file").lateralJoin(lua_recipes(F.col(f"file.{text}").outer()).alias("recipe")).select(*carried, "recipe.*")
 
 
 def read_spans(files: DataFrame, text: str, name: str, end_name: str | None = None, *carry: str) -> DataFrame:
     """The span of the assignment in each file that has it, and columns to carry along."""
-    span = lua_span(F.col(text).outer(), F.lit(name), F.lit(end_name).cast("string"))
-    return files.lateralJoin(span.alias("span")).select(*carry, "start_byte", "end_byte", "content", "is_local")
+    span = lua_span(F.col(f"file.{text}").outer(), F.lit(name), F.lit(end_name).cast("string"))
+    return files.alias("file").lateralJoin(span.alias("span")).select(*(F.col(f"file.{c}") for c in carry), "span.*")

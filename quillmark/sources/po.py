@@ -71,7 +71,7 @@ def register(spark: SparkSession) -> None:
 
 def read_entries(files: DataFrame, text: str, *carry: str) -> DataFrame:
     """The entries of each file's text, and columns to carry along. One call for each file."""
-    return files.lateralJoin(po_entries(F.col(text).outer()).alias("entry")).select(*carry, "pos", "msgctxt", "msgid", "msgstr", "comment")
+    return files.alias("file").lateralJoin(po_entries(F.col(f"file.{text}").outer()).alias("entry")).select(*(F.col(f"file.{c}") for c in carry), "entry.*")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,289 @@
+"""Each operator against a brute-force version, on odd, empty, null and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from quillmark.llm import decontaminate, html_extract, id_files, language, lm_score, packing, quality, range_coder, simhash, token_count, url_filter, vp_tree
+from quillmark.llm.components import connected_components
+from quillmark.llm.html_blocks import blocks
+from quillmark.llm.html_pages import MARK, labelled_pages
+from quillmark.llm.pieces import encoder
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def texts(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe", "word_bpe"])
+def test_windows_are_spliced_to_the_whole(request, name):
+    enc, rng = encoder(request.getfixturevalue(name)), random.Random(3)
+    parts = ["the", "tion", "é", " ", "  ", "\n", "日本", "12", "<|endoftext|>", "'s", "x", "　", "ABC"]
+    widened = 0
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
+        ids, _, n = token_count.resync_ids(enc, text, rng.choice([5, 20, 64]), rng.choice([1, 4, 16]))
+        widened += n
+        assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert widened
+
+
+def test_token_counts(clashing, byte_bpe):
+    tok = Tokenizer.from_file(byte_bpe)
+    want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in texts(clashing)]
+    for window in (16384, 64):
+        got = token_count.count_tokens(clashing, byte_bpe, window=window, overlap=8)
+        assert rows(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=str)
+    assert token_count.count_tokens(clashing.limit(0), byte_bpe).count() == 0
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_url_rules(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", bound)
+    urls = ["http://NET/", "http://net", "https://EXAMPLE.net/en/", "https://m.example.net/en/3?x", "http://notexample.net/en/", "x://a.example.com/de/", "http://b.org/fr/q://z.net/", "nope", "", None, "://net/", "http://a..net/", "http://x.org/fr/#", "http://org?/fr/", "http://q.net/", "http://q.net/"]
+    data = [(i, u, "x") for i, u in enumerate(urls)] + [(14, "http://q.net/", "x")]
+    pages = spark.createDataFrame(data, "page_id long, url string, rule string")
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame([d[:2] for d in data], columns=["page_id", "url"]))
+    got = url_filter.judge_urls(pages, url_filter.rule_table(spark))
+    assert rows(got, "page_id", "host", "path", "rule", "verdict") == sorted(con.sql(url_filter.ORACLE).fetchall(), key=str)
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
+
+
+def test_html_articles_are_found(spark):
+    chain, wrong, total = html_extract.trained(), 0, 0
+    for page in labelled_pages(100, 99):
+        found = list(blocks(page, chain.weights.__contains__))
+        states = chain.decode([sum(map(chain.weights.__getitem__, f)) for _, f in found])
+        wrong += sum(bool(s) != (MARK in t) for (t, _), s in zip(found, states))
+        total += len(found)
+    assert wrong < 0.02 * total
+    pages = spark.createDataFrame([(1, "u", "<nav><a href=x>m</a></nav><article><h1>A &amp; B</h1><p>c  <b>d</b>e<br><p>Some more.</article><footer>&copy; x</footer>", 1), (2, None, None, 1), (3, "", "", 1), (3, "", "", 1)], "page_id long, url string, html string, text int")
+    assert rows(html_extract.extract_text(pages), "page_id", "text", "n_chars") == [(1, "A & B c de Some more.", 21), (2, "", 0), (3, "", 0), (3, "", 0)]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = random.Random(5)
+    for _ in range(50):
+        chain = html_extract.Chain({}, [[rng.uniform(-2, 2) for _ in "ab"] for _ in "ab"], [rng.uniform(-2, 2) for _ in "ab"])
+        scores = [rng.uniform(-3, 3) for _ in range(6)]
+        value = lambda s: chain.starts[s[0]] + sum(x * y for x, y in zip(s, scores)) + sum(chain.moves[a][b] for a, b in zip(s, s[1:]))  # noqa: E731,B023
+        best = max(([n >> k & 1 for k in range(6)] for n in range(64)), key=value)
+        assert chain.decode(scores) == best
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 4096, 4097])
+def test_range_coder_comes_back_and_notices_damage(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 50257, n), np.zeros(n, int), np.full(n, 65535), np.tile([5, 9, 50256], n)[:n]):
+        data = range_coder.encode_segment(ids.astype(np.uint32))
+        assert range_coder.decode_segment(data).tolist() == ids.tolist()
+    if n:
+        with pytest.raises(range_coder.SegmentError):
+            range_coder.decode_segment(data[:16] + bytes([data[16] ^ 1]) + data[17:])
+
+
+def test_id_files(clashing, byte_bpe, spark, tmp_path):
+    tok = Tokenizer.from_file(byte_bpe)
+    lists = [(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for i, t in texts(clashing)]
+    id_files.write_ids(clashing, byte_bpe, f"file://{tmp_path}/ids", segment_ids=500)
+    got = sorted((tuple(r) for r in id_files.read_ids(spark, f"file://{tmp_path}/ids").collect()), key=lambda r: r[1])
+    assert sorted((str(i), len(x), zlib.crc32(x.tobytes())) for i, x in lists) == sorted((str(i), n, c) for i, _, n, c in got)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    assert [r[0] for r in got] == sorted((i for i, _ in lists), key=lambda i: (i is not None, i))
+
+
+def test_cross_entropy_difference(spark):
+    D = [(0, "a b a b a c"), (1, "a b a b"), (2, "x y z x y z"), (3, None), (4, " "), (1, "a b a b")]
+    docs = spark.createDataFrame([(*d, 1) for d in D], "doc_id long, text string, target int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    words = lambda t: (t or "").split()
+
+    def model(ds):
+        uni, ctx, pair = Counter(), Counter(), Counter()
+        for t in ds:
+            for a, b in zip([None, *words(t)], words(t)):
+                uni[b] += 1
+                ctx[a] += 1
+                pair[a, b] += 1
+        return uni, ctx, pair
+
+    everything, target = model(t for _, t in D), model(t for i, t in D if i == 1)
+    size = len(everything[0]) + 2
+
+    def loss(m, a, b):
+        uni, ctx, pair = m
+        taken = 0.7 * sum(n / ctx[a] for (h, _), n in pair.items() if h == a) if ctx[a] else 0
+        return -np.log((0.7 * pair[a, b] / ctx[a] if ctx[a] else 0) + (1 - taken) * (uni[b] + 1) / (sum(uni.values()) + size))
+
+    got = {r.doc_id: r for r in lm_score.score_documents(docs, labels).collect()}
+    for i, t in D:
+        steps = list(zip([None, *words(t)], words(t)))
+        want = [np.mean([loss(m, a, b) for a, b in steps]) if steps else 0 for m in (target, everything)]
+        assert got[i].n_words == len(steps) and np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*want, want[0] - want[1]])
+    assert got[1].score < got[2].score
+    assert lm_score.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_benchmark_windows(spark, clashing, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.window_blocks, "__defaults__", (block,))
+    long = " ".join(f"w{i}" for i in range(40))
+    items = [(1, long), (2, "One, TWO three"), (2, "one two three"), (10, "four five"), (3, None), (4, "!!"), (None, "日本 語")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = spark.createDataFrame([(100, f"x {long.upper()} y", None, None, 0, 0), (101, " ".join(long.split()[:12]), None, None, 0, 0)], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    docs = clashing.unionByName(more, allowMissingColumns=True)
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = [(i, w[k : k + 13]) for i, t in items if (w := find(t)) for k in range(max(1, len(w) - 12))]
+    want = []
+    for i, t in texts(docs):
+        w, hit, owners = find(t), set(), set()
+        for owner, x in windows:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit.update(range(k, k + len(x)))
+                    owners |= {owner} - {None}
+        want.append((i, len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(map(str, owners))).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
+    assert rows(decontaminate.leaks_by_document(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=str)
+    assert decontaminate.keep_clean(docs, bench).columns == docs.columns
+    assert decontaminate.leaks_by_document(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def _base(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    c, lines = Counter(zip(w, w[1:], w[2:])), [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    covered = {k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_scores(spark, clashing):
+    labels = spark.createDataFrame([(16, 1), (14, 0)], "doc_id long, quality int")
+    got = quality.judge(clashing, labels)
+    assert rows(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == sorted(((i, *_base(t)) for i, t in texts(clashing)), key=str)
+    ratios = quality.log_ratios(clashing, labels)
+    keys = [f"{a}" for a in ("one", "two")]
+    hashed = {k: xxhash.xxh64_intdigest(k.encode(), 42) for k in keys}
+    assert all(-20 < ratios[np.uint64(h).view(np.int64) % quality.BUCKETS] < 20 for h in hashed.values())
+    assert all(r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in got.collect())
+    assert {r.score for r in quality.judge(clashing, labels.limit(0)).collect()} == {0.0}
+    assert quality.keep_good(clashing, labels).columns == clashing.columns and quality.judge(clashing.limit(0), labels).count() == 0
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_language_of_odd_documents(clashing):
+    got = language.identify_documents(clashing).collect()
+    assert len(got) == clashing.count()
+    letters = {i: bool(t) and any(c.isalpha() for c in t) for i, t in texts(clashing)}
+    assert all((r.lang_pred == "und") == (not letters[r.doc_id]) for r in got)
+    assert language.keep_known(clashing).columns == clashing.columns
+    assert language.identify_documents(clashing.limit(0)).count() == 0
+
+
+def _components(pairs, reach):
+    prints = []
+    for i, t in pairs:
+        w = (t or "").encode().lower().split()
+        grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        prints.append((i, sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
+    up = list(range(len(prints)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= reach:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    first = defaultdict(list)
+    for k, (i, _) in enumerate(prints):
+        first[root(k)] += [i] if i is not None else []
+    return [(i, f"{f:016x}", min(first[root(k)], default=None)) for k, (i, f) in enumerate(prints)], len({root(k) for k in range(len(up))})
+
+
+@pytest.mark.parametrize("leaf", [2048, 8])
+def test_near_duplicates(docs, clashing, monkeypatch, leaf):
+    monkeypatch.setattr(simhash.close_links, "__defaults__", (2, leaf))
+    both = docs.unionByName(clashing, allowMissingColumns=True)
+    want, components = _components(texts(both), 2)
+    assert rows(simhash.near_duplicates(both), "doc_id", "fingerprint", "component_id") == sorted(want, key=str)
+    kept = simhash.keep_first(both)
+    assert kept.columns == both.columns and kept.count() == components
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_tree_finds_all_pairs():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    data = np.unique(np.concatenate([centres] + [centres ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(30)]))
+    got = {(int(a), int(b)) for d, q in vp_tree.close_pairs(data, data, 3) for a, b in zip(d, q)}
+    assert got == set(zip(*map(list, np.nonzero(vp_tree.hamming(data[:, None], data[None, :]) <= 3))))
+    router = vp_tree.Router(data[::3], 16)
+    own = dict(zip(*map(list, router.visits(data, 0))))
+    visits = set(zip(*map(list, router.visits(data, 3))))
+    assert len(own) == len(data) and all((a, own[b]) in visits for a, b in got)
+
+
+def test_components_of_chains_and_hubs(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 130)}}
+
+
+def test_packing(docs, clashing, word_bpe):
+    tok = Tokenizer.from_file(word_bpe)
+    both = docs.unionByName(clashing.where("doc_id is null or doc_id <> 3").withColumn("doc_id", clashing.doc_id + 10**6), allowMissingColumns=True)
+    ids = {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in texts(both)}
+    got = packing.pack(both.repartition(3), word_bpe).toPandas()
+    got["doc_id"] = got.doc_id.astype(object).where(got.doc_id.notna(), None)
+    for r in got.itertuples():
+        x = ids[r.doc_id][r.start : r.start + r.length]
+        assert 0 < len(x) == r.length and zlib.crc32(x.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    for i, pieces in got.groupby("doc_id", dropna=False):
+        pieces = pieces.sort_values("start")
+        assert pieces.start.tolist() == np.cumsum([0, *pieces.length])[:-1].tolist() and pieces.length.sum() == len(ids[i if pd.notna(i) else None])
+    for _, pieces in got.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert pieces.offset.tolist() == np.cumsum([0, *pieces.length])[:-1].tolist() and pieces.length.sum() <= packing.SEQUENCE
+    assert packing.pack(docs.limit(0), word_bpe).count() == 0
+
+
+def test_plan_uses_no_more_than_there_is():
+    rng = random.Random(2)
+    counts = dict(Counter(rng.choice([700, 648, 1400, 1024, rng.randint(1, 2047)]) for _ in range(20000)))
+    plan = packing.plan_sequences(counts)
+    lengths = np.array([x for x, n in counts.items() for _ in range(n)])
+    ranks = np.array([k for n in counts.values() for k in range(n)])
+    placed, sequence, offset = plan.place(lengths, ranks)
+    filled = pd.DataFrame({"s": sequence[placed], "o": offset[placed], "n": lengths[placed]}).sort_values(["s", "o"])
+    assert (filled.groupby("s").n.sum() == packing.SEQUENCE).all() and filled.s.nunique() == plan.sequences and placed.mean() > 0.6
+    assert (filled.groupby("s").n.transform(lambda n: n.cumsum() - n) == filled.o).all()

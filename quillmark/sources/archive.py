@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Where a root folder has its archive and its version.
 ARCHIVE, VERSION = "data/databundles/scripts.zip", "version.txt"

@@ -104,17 +104,17 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
             counts = [_counts(texts[i]) for i in keep]
             at = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(keep, pa.int64())), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a].astype(np.float32) for c, a in zip(counts, at)], pa.list_(pa.float32()))],
+                [langs.take(pa.array(keep, pa.int64())), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<f4").tobytes() for c, a in zip(counts, at)], pa.binary())],
                 names=["lang", "at", "n"],
             )
 
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(sparse, "lang string, at array<int>, n array<float>")
+    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(sparse, "lang string, at binary, n binary")
     rows = sorted(rows.collect(), key=lambda r: (r.lang, r.at, r.n))  # TRAIN_ROWS a language, but for rows that share an id
     if not rows:
         return None
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
-        x[i, r.at] = r.n
+        x[i, np.frombuffer(r.at, "<i4")] = np.frombuffer(r.n, "<f4")
     langs = np.array([r.lang for r in rows])
     idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _normal(np.log1p(x) * idf)

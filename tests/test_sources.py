@@ -135,3 +135,11 @@ def test_page_store_writes_only_what_changed_and_is_confirmed(spark, tmp_path):
     assert (store.get("P").first().content, store.get("P").first().last_rev_id) == ("xy", 3)
     with pytest.raises(pages.PageNotFound):
         store.get("Q")
+
+
+def test_copy_mappings_in_toml(spark):
+    from quillmark.sources.config import CopyMapping, CopyMappings
+
+    both = CopyMappings([CopyMapping("a.lua", "A", "Module:A"), CopyMapping("b.lua", "B", "Module:B", "C", 'say "é"')])
+    assert CopyMappings.from_toml(both.to_toml()) == both and both.by_variable("B") == both.by_target("Module:B") == both[1]
+    assert both.by_variable("none") is None and both.table(spark).where("end_var_name is null").count() == 1

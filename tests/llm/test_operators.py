@@ -145,6 +145,22 @@ def test_cross_entropy_difference(spark):
     assert lm_score.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [8 << 20, 4096])
+def test_language_models_keep_rare_words_and_pairs(spark, monkeypatch, size):
+    """Beside 300,000 common words a pair and a word that occur once, also over many chunks and buckets."""
+    monkeypatch.setattr(lm_score, "_CHUNK_BYTES", size)
+    monkeypatch.setattr(lm_score, "_BUCKET_WORDS", 1 << 17)
+    D = [(i, "a b " * 1500) for i in range(100)] + [(100, "b rare"), (101, "b a")]
+    docs, labels = spark.createDataFrame(D, "doc_id long, text string"), spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm_score.score_documents(docs, labels).collect()}
+    assert sorted(got) == [i for i, _ in D]
+    n, v = 300_004, 3 + 2
+    first = 0.7 * 2 / 102 + 0.3 * 150_003 / (n + v)
+    rare = 0.7 * 1 / (149_900 + 2) + 0.3 * 2 / (n + v)
+    assert np.isclose(got[100].background_loss, -(np.log(first) + np.log(rare)) / 2)
+    assert np.isclose(got[100].target_loss, -2 * np.log(0.7 + 0.3 * 2 / (2 + v)) / 2)
+
+
 @pytest.mark.parametrize("block", [200_000, 3])
 def test_benchmark_windows(spark, clashing, monkeypatch, block):
     monkeypatch.setattr(decontaminate.window_blocks, "__defaults__", (block,))

@@ -15,8 +15,7 @@ sends each of its words and pairs once, by a 63-bit hash, to the bucket of the h
 bits, which adds up what all chunks sent and returns each chunk its own grams' totals. A frequent gram costs a bucket one number a chunk, and buckets grow in number with the
 words, so neither grows with the corpus. Two grams of one hash would count together.
 
-The target is made of documents with a label of good quality that is not toxic, at most TARGET
-of them, chosen by the hash of their ids.
+The target is made of all documents with a label of good quality that is not toxic.
 
 Null, empty and blank texts have 0 words, losses and score. Without target documents the
 target model is uniform. Repeated rows stay, each scored for itself, and all of them count.
@@ -35,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_for_python, hash_sample, slices_of, stash
+from .common import documents_for_python, slices_of, stash
 
-PAIR_WEIGHT, TARGET = 0.7, 16384
+PAIR_WEIGHT = 0.7
 #: Bytes of text of a chunk, and words of the corpus for each bucket of grams.
 _CHUNK_BYTES, _BUCKET_WORDS = 4 << 20, 1 << 20
 #: The hash of the start of a text, and what sets pairs apart from words.
@@ -178,8 +177,7 @@ def _gram_totals(chunks: DataFrame, bits: int) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for every row of docs."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long"))
-    good = hash_sample(good, "doc_id", TARGET)
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long")).distinct()
     chunks = stash(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
     flagged = _flagged(chunks, good)
     of_all = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]

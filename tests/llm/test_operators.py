@@ -161,6 +161,13 @@ def test_language_models_keep_rare_words_and_pairs(spark, monkeypatch, size):
     assert np.isclose(got[100].target_loss, -2 * np.log(0.7 + 0.3 * 2 / (2 + v)) / 2)
 
 
+def test_language_models_take_every_target_document(spark):
+    """Where all documents are good, however many, both models are one."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert max(abs(r.score) for r in lm_score.score_documents(docs, labels.unionByName(labels.limit(9))).collect()) < 1e-12
+
+
 @pytest.mark.parametrize("block", [200_000, 3])
 def test_benchmark_windows(spark, clashing, monkeypatch, block):
     monkeypatch.setattr(decontaminate.window_blocks, "__defaults__", (block,))

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices_of, stash
-from .pieces import encoder
+from .pieces import SLICE_BYTES, encoder
 
-SEQUENCE, END_ID, GRID = 2048, 1, 16
+SEQUENCE, END_ID, GRID = 2048, 1, 64
 #: Lengths that triples are built with besides any first length, and rounds of the solver.
 FREQUENT, ROUNDS = 24, 300
 #: Sequence ids from here on belong to partitions: LOCAL + partition * PARTITION_IDS + number.
@@ -46,7 +46,7 @@ def measure(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices_of(texts, 16 << 20):
+            for lo, hi in slices_of(texts, SLICE_BYTES):
                 ids, sizes = enc.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(sizes)
                 raw = memoryview(np.insert(ids, ends, END_ID).astype("<u4").tobytes())

@@ -1,34 +1,39 @@
 """Token counts by overlap resynchronisation.
 
 A huge document is encoded in overlapping windows, with offsets. Two windows are spliced
-at a stable common boundary: a place in their overlap where a space follows another
-character than white space (the pre-tokenizer ends a match there, whatever precedes), where
-both windows begin a token, and from which on their ids agree. Where the overlap has no such
-place, it is widened, at last to the whole rest of the document.
-
-Null and empty texts have 0 tokens. Rows are counted one by one, so repeated rows and
-repeated ids stay. Other columns of the input are not read.
+at a stable common boundary: a place in their overlap where the pre-tokenizer ends a match,
+whatever precedes, where both windows begin a token, and from which on their ids agree. Such
+places lie before a space or line end that follows another character and, for tokenizers
+that do not normalise, also where a run of letters or of digits ends, or begins behind a
+sign other than an apostrophe, so texts without spaces have them too. Where the overlap has
+no such place, it is widened, at last to the whole rest of the document: a document of one
+single run of letters is encoded at once, as its tokens may depend on all of it.
+
+Null and empty texts have 0 tokens; no documents give no rows. Rows are counted one by one,
+so repeated rows and repeated ids stay. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices_of
-from .pieces import PieceEncoder, encoder
+from .pieces import SLICE_BYTES, PieceEncoder, encoder
 
 #: Characters of a window, and of the overlap of two windows before it is widened.
 WINDOW, OVERLAP = 16384, 256
 #: Ids that must agree behind a boundary, where there are as many.
 AGREE = 8
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT = regex.compile(r"(?<=\S)(?=[ \n])")
+#: For tokenizers without a normaliser, which could join what these places part.
+_CUT_RAW = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[^\s\p{L}\p{M}])|(?<=\p{N})(?=[^\s\p{N}\p{M}])|(?<=[^\s\p{L}\p{N}\p{M}'])(?=[\p{L}\p{N}])")
 
 
 class _Window:
@@ -45,15 +50,23 @@ class _Window:
         return k if k == 0 or self.ends[k - 1] <= place else None
 
 
-def _common(text: str, left: _Window, right: _Window, since: int) -> tuple[int, int, int] | None:
+def _splits_added(text: str, place: int, added: list[str]) -> bool:
+    """Whether the place lies inside a string that the tokenizer takes for one of its added tokens."""
+    return any(text.find(a, max(0, place - len(a) + 1), place + len(a) - 1) >= 0 for a in added)
+
+
+def _common(enc: PieceEncoder, text: str, left: _Window, right: _Window, since: int) -> tuple[int, int, int] | None:
     """The first stable common boundary behind `since`, and the left and right window's tokens there."""
-    for m in _CUT.finditer(text, max(right.start, since) + 1, left.stop):
+    cut = _CUT if enc.tokenizer.normalizer else _CUT_RAW
+    for m in cut.finditer(text, max(right.start, since) + 1, left.stop):
+        if _splits_added(text, m.start(), enc.added):
+            continue
         i, j = left.token_at(m.start()), right.token_at(m.start())
         if i is None or j is None:
             continue
         whole = bisect_left(left.ends, left.stop) - 1  # the last token may have been cut off
-        same = max(0, min(AGREE, whole - i, len(right.ids) - j))
-        if left.ids[i : i + same] == right.ids[j : j + same]:
+        same = min(AGREE, whole - i, len(right.ids) - j)
+        if same > 0 and left.ids[i : i + same] == right.ids[j : j + same]:
             return m.start(), i, j
     return None
 
@@ -73,7 +86,7 @@ def resync_ids(enc: PieceEncoder, text: str, window: int = WINDOW, overlap: int
         while found is None:
             start = max(left.start + 1, left.stop - more)
             right = at(start, start + window + more)
-            if (found := _common(text, left, right, since)) is None:
+            if (found := _common(enc, text, left, right, since)) is None:
                 widened += 1
                 if start == left.start + 1:
                     break
@@ -94,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, window: int
         enc = encoder(tokenizer)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for lo, hi in slices_of(texts, 16 << 20):
+            for lo, hi in slices_of(texts, SLICE_BYTES):
                 part = texts.slice(lo, hi - lo)
                 huge = pc.greater(pc.utf8_length(part), window).to_numpy(zero_copy_only=False)
                 counts = enc.count(pc.if_else(pa.array(huge), "", part))

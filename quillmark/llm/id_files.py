@@ -14,7 +14,6 @@ No documents make no segments.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices_of
-from .pieces import encoder
+from .common import new_folder, slices_of
+from .pieces import SLICE_BYTES, encoder
 from .range_coder import decode_segment, encode_segment
 
 END_ID, SEGMENT_IDS = 0, 1 << 21
@@ -51,7 +50,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, segment_ids: int = SEG
         enc, part, seq, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices_of(texts, 16 << 20):
+            for lo, hi in slices_of(texts, SLICE_BYTES):
                 ids, sizes = enc.encode(texts.slice(lo, hi - lo))
                 ids, sizes = np.insert(ids, np.cumsum(sizes), END_ID), sizes + 1
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -90,6 +89,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def through_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the ids to a new folder of the shared one and read them back."""
-    path = f"{shared_dir(docs.sparkSession)}/quillmark-ids/{uuid.uuid4().hex}"
+    path = new_folder(docs.sparkSession, "quillmark-ids")
     write_ids(docs, tokenizer, path)
     return read_ids(docs.sparkSession, path)

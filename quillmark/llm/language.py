@@ -19,15 +19,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_for_python, hash_sample, texts_of
-
 BUCKETS, TRAIN_ROWS, CENTROIDS, ROUNDS, REJECT = 1 << 13, 600, 4, 10, 0.75
 #: Bytes of a text that are counted at once.
 _PART = 1 << 22
@@ -89,13 +86,16 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _sample(known: DataFrame) -> DataFrame:
+    """doc_id, mark: of at most TRAIN_ROWS different rows of each language, those whose ids' hashes are smallest."""
+    rows = known.select("lang", "doc_id", F.xxhash64("text").alias("mark")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark"))
+    return rows.withColumn("place", place).where(F.col("place") <= TRAIN_ROWS).select("lang", "doc_id", "mark")  # tasks send no more than that
+
+
 def train(docs: DataFrame, usable: Column) -> Model | None:
     """Fit on a bounded sample of the usable rows. Their counts are taken on the executors."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    names = sorted(r.lang for r in known.groupBy("lang").agg(F.lit(1)).collect())
-    if not names:
-        return None
-    ids = reduce(DataFrame.unionByName, [hash_sample(known.where(F.col("lang") == n).select("doc_id"), "doc_id", TRAIN_ROWS) for n in names])
 
     def sparse(batches):
         for batch in batches:
@@ -108,8 +108,11 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
                 names=["lang", "at", "n"],
             )
 
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(sparse, "lang string, at binary, n binary")
-    rows = sorted(rows.collect(), key=lambda r: (r.lang, r.at, r.n))  # TRAIN_ROWS a language, but for rows that share an id
+    marked = known.withColumn("mark", F.xxhash64("text"))
+    chosen = F.broadcast(_sample(known).toDF("of", "of_id", "of_mark"))  # TRAIN_ROWS a language
+    rows = marked.join(chosen, (F.col("lang") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left_semi")
+    rows = rows.groupBy("lang", "doc_id", "mark").agg(F.min("text").alias("text")).select("lang", "text").mapInArrow(sparse, "lang string, at binary, n binary")
+    rows = sorted(rows.collect(), key=lambda r: (r.lang, r.at, r.n))  # TRAIN_ROWS a language
     if not rows:
         return None
     x = np.zeros((len(rows), BUCKETS), np.float32)
@@ -123,25 +126,21 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
     return Model(names, idf, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(names)), [len(p) for p in parts]))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str], reject: float = REJECT) -> DataFrame:
-    """The columns to keep as the struct `doc`, with lang_pred, score and rejected."""
+def identified(docs: DataFrame, model: Model | None, reject: float = REJECT) -> Column:
+    """The struct lang_pred, score, rejected of each `text` of docs. Other columns do not leave the JVM."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x BUCKETS floats
 
-    def predicted(batches):
+    def predicted(texts: pa.Array) -> pa.Array:
         m = held.value
-        for batch in batches:
-            texts = texts_of(batch)
-            lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-            for lo in range(0, len(texts), _TEXTS_AT_ONCE):
-                part = texts.slice(lo, _TEXTS_AT_ONCE).to_pylist()
-                judged = [i for i, t in enumerate(part) if m and t and has_letter(t)]
-                if judged:
-                    lang[lo + np.array(judged)], score[lo + np.array(judged)] = m.predict([part[i] for i in judged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (1 - score > reject))], names=["doc", "lang_pred", "score", "rejected"])
+        lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        for lo in range(0, len(texts), _TEXTS_AT_ONCE):
+            part = texts.slice(lo, _TEXTS_AT_ONCE).to_pylist()
+            judged = [i for i, t in enumerate(part) if m and t and has_letter(t)]
+            if judged:
+                lang[lo + np.array(judged)], score[lo + np.array(judged)] = m.predict([part[i] for i in judged])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (1 - score > reject))], names=["lang_pred", "score", "rejected"])
 
-    rows = documents_for_python(docs, keep)
-    schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInArrow(predicted, schema)
+    return F.arrow_udf(predicted, "lang_pred string, score double, rejected boolean")(F.col("text").cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,10 +151,11 @@ def held_out(doc_id: Column) -> Column:
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: learnt from the rows that are not held out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    found = identify(docs, train(docs, ~held_out(F.col("doc_id"))), ["doc_id"])
-    return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    found = docs.select("doc_id", identified(docs, train(docs, ~held_out(F.col("doc_id")))).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.*")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised."""
-    return identify(docs, train(docs, ~held_out(F.col("doc_id"))), docs.columns).where("not rejected").select("doc.*")
+    found = identified(docs, train(docs, ~held_out(F.col("doc_id"))))
+    return docs.where(~found["rejected"])

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_for_python, slices_of, stash
+from .common import slices_of, stash
 
 PAIR_WEIGHT = 0.7
 #: Bytes of text of a chunk, and words of the corpus for each bucket of grams.
@@ -83,12 +83,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _chunks(docs: DataFrame) -> DataFrame:
     """Documents in chunks: their ids, numbers of words, the words as places in the chunk's own list, and its hashes."""
 
-    rows = documents_for_python(docs, ["doc_id"])
-
     def cut(batches):
         number = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            ids = pc.struct_field(batch.column(0), "doc_id")
+            ids = batch.column(0)
             for lo, hi in slices_of(batch.column(1), _CHUNK_BYTES):
                 words, offsets = _words(batch.column(1).slice(lo, hi - lo))
                 coded = words.dictionary_encode()
@@ -97,7 +95,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "ids", "lengths", "codes", "hashes", "n_words"])
 
-    return rows.mapInArrow(cut, _CHUNK)
+    return docs.select("doc_id", "text").mapInArrow(cut, _CHUNK)
 
 
 class Grams:

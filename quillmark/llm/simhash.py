@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_for_python, stash, texts_of
+from .common import stash
 from .components import connected_components
 from .vp_tree import Forest, Router, close_pairs
 
@@ -47,17 +47,14 @@ def simhash(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns to keep as the struct `doc`, and `fp`, the fingerprint as a signed long."""
+def fingerprint(text: Column) -> Column:
+    """The fingerprint of each text, as a signed long. Other columns do not leave the JVM."""
 
-    def hashed(batches):
-        for batch in batches:
-            texts = pc.fill_null(texts_of(batch), "").cast(pa.large_binary())
-            fps = np.fromiter((simhash(t.as_py()) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(fps.view(np.int64))], names=["doc", "fp"])
+    def hashed(texts: pa.Array) -> pa.Array:
+        raw = pc.fill_null(texts, "").cast(pa.large_binary())
+        return pa.array(np.fromiter((simhash(t.as_py()) for t in raw), np.uint64, len(raw)).view(np.int64))
 
-    rows = documents_for_python(docs, keep)
-    return rows.mapInArrow(hashed, rows.select("doc").schema.add("fp", "long"))
+    return F.arrow_udf(hashed, "long")(text.cast("string"))
 
 
 def close_links(nodes: DataFrame, reach: int = LINK_BITS, leaf_nodes: int = LEAF_NODES) -> DataFrame:
@@ -96,7 +93,7 @@ def close_links(nodes: DataFrame, reach: int = LINK_BITS, leaf_nodes: int = LEAF
 
 def near_duplicates(docs: DataFrame, reach: int = LINK_BITS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
-    prints = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]).select("doc.doc_id", "fp"))
+    prints = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp")))
     return _labelled(prints, reach).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -128,7 +125,8 @@ def keep_first(docs: DataFrame, reach: int = LINK_BITS) -> DataFrame:
 
     Of rows that share this doc_id, one stays. A component without any doc_id keeps one row.
     """
-    whole = stash(fingerprints(docs, docs.columns).withColumn("row", F.monotonically_increasing_id()))
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    whole = stash(docs.select(doc, fingerprint(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("row")))
     labelled = _labelled(whole.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", "row"), reach)
     first = labelled.where("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
     return whole.join(stash(first).hint("shuffle_hash"), "row", "left_semi").select("doc.*")

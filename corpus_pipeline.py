@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import decontaminate, language, packing, quality, simhash
-from quillmark.llm.common import read_table, stash
+from quillmark.llm.common import new_folder, read_table, scratch, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, stash(docs) if k else docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = new_folder(spark)
+        with scratch(spark):
+            docs = stash(stage(spark, docs, sf_dir), kept)
+    return STAGES[-1][1](spark, docs, sf_dir)

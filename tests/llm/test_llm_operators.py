@@ -168,9 +168,9 @@ def test_language_models_take_every_target_document(spark):
     assert max(abs(r.score) for r in lm_score.score_documents(docs, labels.unionByName(labels.limit(9))).collect()) < 1e-12
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_benchmark_windows(spark, clashing, monkeypatch, block):
-    monkeypatch.setattr(decontaminate.window_blocks, "__defaults__", (block,))
+@pytest.mark.parametrize("bound", [100_000, 3])
+def test_benchmark_windows(spark, clashing, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, long), (2, "One, TWO three"), (2, "one two three"), (10, "four five"), (3, None), (4, "!!"), (None, "日本 語")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -190,6 +190,7 @@ def test_benchmark_windows(spark, clashing, monkeypatch, block):
     assert rows(decontaminate.leaks_by_document(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=str)
     assert decontaminate.keep_clean(docs, bench).columns == docs.columns
     assert decontaminate.leaks_by_document(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.leaks_by_document(docs.limit(0), bench).count() == 0
 
 
 def _base(text):

@@ -1,4 +1,6 @@
-"""Leaf blocks of an HTML page, in page order, each with the features of its place and its text."""
+"""Leaf blocks of an HTML page, in page order, each with the features of its place and its text.
+
+The page is scanned forward once, in time in proportion to its length, whatever its faults."""
 
 from __future__ import annotations
 
@@ -7,12 +9,15 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_SIGN = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is not rendered, or is no text of the page.
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "noembed", "noframes"}
-_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+#: The slash at the end of a tag that stands for an end tag of its own, which only foreign elements have.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: A start tag on the left ends open elements on the right.
@@ -30,6 +35,8 @@ class _Page:
 
     def __init__(self, known: Callable[[str], bool]):
         self.known, self.stack, self.active = known, [], Counter()
+        self.opened: Counter[str] = Counter()  # of each tag
+        self.outer: list[str] = ["body"]  # open elements that are not inline
         self.near: list[tuple[int, list[str]]] = []
 
     def open(self, tag: str, attributes: str) -> None:
@@ -41,10 +48,15 @@ class _Page:
         given = [f for f in {"under:" + tag, *names} if self.known(f)]
         self.active.update(given)
         self.stack.append((tag, given))
+        self.opened[tag] += 1
+        if tag not in _INLINE:
+            self.outer.append(tag)
         if tag in _HOLDERS or names:  # what the nearest such element says counts besides what all of them say
             self.near.append((len(self.stack), [f for f in {"near:" + x.removeprefix("in:") for x in (tag, *names)} if self.known(f)]))
 
     def _close_sibling(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return None
         for t, _ in reversed(self.stack):
             if t == tag:
                 return self.close(tag)
@@ -53,10 +65,13 @@ class _Page:
         return None
 
     def close(self, tag: str) -> None:
-        if not any(t == tag for t, _ in self.stack):
+        if not self.opened[tag]:
             return
         while True:
             t, given = self.stack.pop()
+            self.opened[t] -= 1
+            if t not in _INLINE:
+                self.outer.pop()
             if self.near and self.near[-1][0] > len(self.stack):
                 self.near.pop()
             for f in given:
@@ -67,21 +82,81 @@ class _Page:
                 return
 
     def block(self, text: str, linked: int, first: bool) -> tuple[str, list[str]]:
-        own = next((t for t, _ in reversed(self.stack) if t not in _INLINE), "body")
         n, share = text.count(" ") + 1, linked / max(1, len(text))
-        features = [f"is:{own}", f"words:{sum(n > w for w in _WORDS)}", f"links:{(share > 0) + (share > 0.3) + (share > 0.7)}", "stop" if text[-1] in ".!?…。" else "no-stop"]
+        features = [f"is:{self.outer[-1]}", f"words:{sum(n > w for w in _WORDS)}", f"links:{(share > 0) + (share > 0.3) + (share > 0.7)}", "stop" if text[-1] in ".!?…。" else "no-stop"]
         features += ["copyright"] * ("©" in text) + ["first"] * first
         return text, [*self.active, *(self.near[-1][1] if self.near else ()), *filter(self.known, features)]
 
 
+class _Scanner:
+    """Finds the ends of tags. What is not there is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.quotes = page, set(), True
+
+    def find(self, sign: str, at: int) -> int:
+        if sign in self.gone:
+            return -1
+        if (found := self.page.find(sign, at)) < 0:
+            self.gone.add(sign)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The `>` behind a tag's attributes; signs inside quoted values do not count, quotes that
+        are never closed quote nothing. Once the page would end inside a tag, no quotes count any
+        more. -1 if there is none."""
+        begin = at
+        if not self.quotes or self.find(">", at) < 0:
+            return self.find(">", at)
+        while m := _TAG_SIGN.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if self.page[max(begin, at - 64) : at - 1].rstrip().endswith("=") and (close := self.find(m[0], at)) >= 0:
+                at = close + 1
+        self.quotes = False
+        return self.find(">", begin)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) for texts, start and end tags, in their order. Comments,
+    declarations and the content of raw elements are left out; a `<` that opens no tag is text."""
+    scan, at, since = _Scanner(page), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", at)
+            end = scan.find("-->", at + 4) if comment else scan.find(">", at)
+            stop = len(page) if end < 0 else end + (3 if comment else 1)
+            kind = None
+        else:
+            m = _NAME.match(page, at + (2 if after == "/" else 1))
+            end = scan.tag_end(m.end()) if m else -1
+            if end < 0:
+                at += 1
+                continue
+            kind, stop = "end" if after == "/" else "start", end + 1
+        if since < at:
+            yield "text", page[since:at], ""
+        if kind:
+            tag, attributes = m[0].lower(), page[m.end() : end]
+            yield kind, tag, attributes
+            if kind == "start" and tag in _RAW and not (tag == "svg" and _CLOSED.search(attributes)):
+                close = _RAW_END[tag].search(page, stop)
+                stop = close.end() if close else len(page)
+        at = since = stop
+    if since < len(page):
+        yield "text", page[since:], ""
+
+
 def blocks(page: str, known: Callable[[str], bool] = lambda _: True) -> Iterator[tuple[str, list[str]]]:
     """(text, features) of each leaf block: a run of text between tags that are not inline.
 
     Character references are decoded and white space becomes one space. Unrendered elements,
-    comments and markup are left out, as is a `<` that opens no tag kept as text."""
+    comments and markup are left out; a `<` that opens no tag is text."""
     state = _Page(known)
     parts: list[tuple[str, bool]] = []
-    at, end, first = 0, len(page), True
+    first = True
 
     def flush():
         nonlocal first
@@ -93,25 +168,16 @@ def blocks(page: str, known: Callable[[str], bool] = lambda _: True) -> Iterator
                 yield state.block(text, linked, first)
                 first = False
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            parts.append((text, "under:a" in state.active if known("under:a") else any(t == "a" for t, _ in state.stack)))
-        if m is None:
-            break
-        at = m.end()
-        if m[2] is None:
+    for kind, tag, attributes in _tokens(page):
+        if kind == "text":
+            parts.append((tag, state.opened["a"] > 0))
+            continue
+        if tag in _RAW:
             continue
-        tag = m[2].lower()
         if tag not in _INLINE:
             yield from flush()
-        if tag in _RAW:
-            if not m[1] and not m[3].rstrip().endswith("/"):
-                closing = _RAW_END[tag].search(page, at)
-                at = closing.end() if closing else end
-        elif m[1]:
+        if kind == "end":
             state.close(tag)
         elif tag not in _VOID:
-            state.open(tag, m[3])
+            state.open(tag, attributes)
     yield from flush()

@@ -6,7 +6,8 @@ whether it is the first. Weights are trained on labelled pages (see html_pages)
 likelihood's gradient, with sums over all chains by forward-backward, and pages are decoded
 by Viterbi. The text is that of the article's blocks, joined by one space.
 
-Null and empty pages, and pages without an article block, have the text '' and 0 characters.
+Null and empty pages, and pages without an article block, have the text '' and 0 characters; no
+pages give no rows. Very long and faulty pages take time and memory in proportion to their length.
 Repeated rows stay, each extracted for itself. Other columns of the input are not read.
 """
 

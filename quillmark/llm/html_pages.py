@@ -65,6 +65,13 @@ class _Writer:
             inner = loose
         return self.named(kind, kind, inner)
 
+    def menu(self) -> str:
+        return self.rng.choice([self.links(4), "".join(f'<a href="/{i}">{self.words(1, 2)}</a><br>' for i in range(4)), " | ".join(f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(4))])
+
+    def bare(self, p: float) -> str:
+        """A menu or a line of rights in an element without a name, or nothing."""
+        return "" if self.maybe(p) else self.rng.choice([self.menu(), f"<div>{self.menu()}</div>", f"<p>{self.menu()}</p>", f"<p>&copy; {self.words(1, 4)}</p>", f"<div><small>© 2020 {self.words(1, 3)}</small></div>"])
+
     def paragraph(self) -> str:
         text = MARK + " ".join(self.sentence(1, 40) for _ in range(self.rng.choice([1, 1, 2, 4, 8])))
         if self.maybe(0.2):
@@ -95,6 +102,8 @@ class _Writer:
                 inner += self.around(rng.choice(["ad", "aside", "form", "notice", "ad"]))
         if self.maybe(0.3):
             inner += self.around("comments")
+        if self.maybe(0.25):  # without a name, or without any element of its own
+            return rng.choice(["{}", "<div>{}</div>", "<div><div>{}</div></div>", "<center>{}</center>"]).format(inner)
         name = rng.choice(["article"] * 4 + ["main", "div", "div", "section"])
         mark = f' {rng.choice(["class", "class", "id"])}="{rng.choice(_ARTICLE)}"' if name != "article" or self.maybe(0.3) else ""
         return f"<{name}{mark}>{inner}</{name}>"
@@ -103,7 +112,12 @@ class _Writer:
         before = [self.around(k) for k in ("notice", "header", "nav", "form", "ad", "aside") if self.maybe(0.45)]
         after = [self.around(k) for k in ("comments", "aside", "ad", "form", "footer", "notice") if self.maybe(0.45)]
         self.rng.shuffle(before)
-        body = "".join([*before, self.article(), *after])
+        if self.maybe(0.1):  # no names but those of elements
+            before, after = [self.bare(0.5)], [self.bare(0.5)]
+        if self.maybe(0.08):  # a layout table
+            body = f"<table><tr><td>{''.join(before)}{self.menu()}</td><td>{self.article()}</td></tr><tr><td>{''.join(after)}</td></tr></table>"
+        else:
+            body = "".join([*before, self.article(), *after])
         if self.maybe(0.3):
             body = f'<div class="{self.rng.choice(["wrapper", "page", "container", "site"])}">{body}</div>'
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title></head><body>{body}" + ("" if self.maybe(0.2) else "</body></html>")

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -17,7 +19,7 @@ from quillmark.llm import decontaminate, html_extract, id_files, language, lm_sc
 from quillmark.llm.components import connected_components
 from quillmark.llm.html_blocks import blocks
 from quillmark.llm.html_pages import MARK, labelled_pages
-from quillmark.llm.pieces import encoder
+from quillmark.llm.pieces import PieceEncoder, encoder
 
 DATA = "/root/testdata/sf0.001"
 
@@ -311,3 +313,82 @@ def test_plan_uses_no_more_than_there_is():
     filled = pd.DataFrame({"s": sequence[placed], "o": offset[placed], "n": lengths[placed]}).sort_values(["s", "o"])
     assert (filled.groupby("s").n.sum() == packing.SEQUENCE).all() and filled.s.nunique() == plan.sequences and placed.mean() > 0.6
     assert (filled.groupby("s").n.transform(lambda n: n.cumsum() - n) == filled.o).all()
+
+
+#: Pages written by hand, unlike those that the extractor is trained on, and their articles.
+PAGES = {
+    "<body><div><p>The council met on Monday to discuss the new bridge over the river.</p><p>It will open in spring, the mayor said.</p></div></body>": "The council met on Monday to discuss the new bridge over the river. It will open in spring, the mayor said.",
+    "<table><tr><td><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></td><td><h1>Storm hits coast</h1><p>Heavy rain fell over the coast during the night and roads were closed.</p></td></tr></table>": "Storm hits coast Heavy rain fell over the coast during the night and roads were closed.",
+    '<div id="wrap"><div class="top-nav"><ul><li><a href=/>Start</a></li></ul></div><div class="post-content"><h2>My trip</h2><p>We went up the hill at dawn. It was cold.</p><blockquote>What a view!</blockquote></div><div id="comments"><p>Nice post, thanks for it!</p></div><div class="site-footer">© 2021 Me</div></div>': "My trip We went up the hill at dawn. It was cold. What a view!",
+    '<header><a href=/>Daily</a></header><nav><a href=/w>World</a><a href=/s>Sport</a></nav><main><article><h1>Team wins cup</h1><p>The team won the cup on Sunday.</p><aside class="related"><h3>More</h3><ul><li><a href=/x>Cup draw</a></li></ul></aside><p>Fans cheered.</p></article></main><footer><p>© Daily. All rights reserved.</p></footer>': "Team wins cup The team won the cup on Sunday. Fans cheered.",
+    '<div class="cookie-consent"><p>We use cookies. <button>OK</button></p></div><div id="content"><p>Rivers carry sand to the sea over many years.</p></div><form action=/s><label>Search</label><input name=q></form>': "Rivers carry sand to the sea over many years.",
+}
+
+
+def test_articles_of_pages_from_elsewhere():
+    chain = html_extract.trained()
+    assert [chain.extract(page) for page in PAGES] == list(PAGES.values())
+
+
+def test_extracted_text_is_that_of_the_best_labelling(spark):
+    chain = html_extract.trained()
+    for page in PAGES:
+        found = list(blocks(page, chain.weights.__contains__))
+        scores = [sum(chain.weights[f] for f in fs) for _, fs in found]
+        value = lambda s: chain.starts[s[0]] + sum(x * y for x, y in zip(s, scores)) + sum(chain.moves[a][b] for a, b in zip(s, s[1:]))  # noqa: E731,B023
+        best = max(([n >> k & 1 for k in range(len(found))] for n in range(1 << len(found))), key=value)
+        assert chain.extract(page) == " ".join(t for (t, _), s in zip(found, best) if s)
+    assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_faulty_markup_is_no_text():
+    read = lambda page: [t for t, _ in blocks(page)]
+    assert read("<script src=/js/app/>var leaked=1;</script>ok") == ["ok"]
+    assert read('<p title="abc>text one</p>') == ["text one"] and read("<p class='a>b'>t</p>") == ["t"]
+    assert read("a < b<p>c <d") == ["a < b", "c <d"] and read("<svg/>a<svg><path></svg>b<style>x</styles>y</style>") == ["ab"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b=\"", "<", "<!--", "<ul><li>", "<a b=\">\" ", "</", "<b>", "<p>x"])
+def test_long_faulty_pages_take_time_in_proportion(part):
+    def took(n):
+        page = part * (n // len(part)) + "</i><br>" * 1000
+        begin = time.process_time()
+        sum(1 for _ in blocks(page))
+        return time.process_time() - begin
+
+    assert took(1 << 18) < 16 * max(took(1 << 15), 0.05)
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs, ~language.held_out(docs.doc_id))
+    foreign = ["Все счастливые семьи похожи друг на друга, каждая несчастлива по-своему.", "吾輩は猫である。名前はまだ無い。", "كان يا ما كان في قديم الزمان", "0123abcdef4567 " * 30, "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan"]
+    asked = spark.createDataFrame([(t,) for t in foreign], "text string")
+    assert all(r.found.rejected for r in asked.select(language.identified(asked, model).alias("found")).collect())
+    kept = docs.select(language.identified(docs, model).alias("found")).where("not found.rejected").count()
+    assert kept >= docs.where("text is not null").count() - 10
+    tied = language.Model(["a", "b"], model.idf, np.stack([model.centroids[0]] * 2), np.array([0, 1]))
+    assert tied.predict(["the same"])[0] == ["a"]
+
+
+@pytest.mark.parametrize("kind", ["signs", "lines", "letters"])
+def test_texts_without_spaces_are_spliced(byte_bpe, kind):
+    rng = random.Random(1)
+    text = {"signs": "".join(rng.choice("日本語のます。テキ、スト") for _ in range(60_000)), "lines": "\n".join("ab" * rng.randint(1, 4) for _ in range(9000)), "letters": "ab" * 20_000}[kind]
+    enc = encoder(byte_bpe)
+    ids, windows, _ = token_count.resync_ids(enc, text)
+    assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert (windows > 2) == (kind != "letters")
+
+
+@pytest.mark.parametrize("name", ["byte_bpe", "word_bpe"])
+def test_pieces_give_the_ids_of_the_whole(request, name):
+    path, rng = request.getfixturevalue(name), random.Random(4)
+    enc = PieceEncoder(path)
+    enc._memory.most = 300
+    parts = ["the", "é", " ", "  ", "\n", "\n\n", "日本", "。", "12", "<|endoftext|>", "'s", "　", "ABC", ".", ",", "!", "…", "²", "́", "\xa0", "\x85", "\t", "’", "ß", "×", "Σ", "\r\n", "①", "한"]
+    for k in range(10):
+        some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, ""]
+        ids, sizes = enc.encode(pa.array(some).slice(k))
+        want = [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in some[k:]], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want and enc.count(pa.array(some).slice(k)).tolist() == list(map(len, want))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that one string holds when it is handed to the tokenizer, and that a generation of known ones holds.
-_PIECES_A_STRING, _GENERATION = 256, 1 << 18
+_PIECES_A_STRING, _GENERATION = 256, 1 << 17
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4 << 20
 _STOPS = b".,!?;:"

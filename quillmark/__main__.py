@@ -44,11 +44,11 @@ def _options() -> argparse.ArgumentParser:
     return top
 
 
-def _deliver(args: argparse.Namespace, store: PageStore | None, content: DataFrame, trimmed: bool) -> None:
+def _deliver(args: argparse.Namespace, store: PageStore | None, content: DataFrame, json: bool) -> None:
     if args.out:
         content.write.text(args.out)
     if store is not None and args.title:
-        print(store.edit(args.title, content, confirmed=args.yes, trimmed=trimmed))
+        print(store.edit(args.title, content, confirmed=args.yes, json=json))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -70,13 +70,13 @@ def main(argv: list[str] | None = None) -> None:
         jobs.preview(result.rows).show(truncate=30)
         if result.changes is not None:
             result.changes.groupBy("status").count().orderBy("status").show()
-        _deliver(args, store, result.content, trimmed=True)
+        _deliver(args, store, result.content, json=True)
     elif store is None or not args.title:
         raise SystemExit("a page is needed: --pages and --title")
     elif args.command == "copy":
-        _deliver(args, store, jobs.copy_variable(_whole(spark, args.source), store.get(args.title), args.variable, args.end), trimmed=False)
+        _deliver(args, store, jobs.copy_variable(_whole(spark, args.source), store.get(args.title), args.variable, args.end), json=False)
     else:
-        _deliver(args, store, jobs.copy_names(po.read_files(spark, args.catalogue), store.get(args.title)), trimmed=False)
+        _deliver(args, store, jobs.copy_names(po.read_files(spark, args.catalogue), store.get(args.title)), json=False)
 
 
 if __name__ == "__main__":

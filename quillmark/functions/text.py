@@ -68,6 +68,11 @@ def replace_between_markers(text: Column, new: Column, start: str = START_MARK,
     return F.when(a < b, F.concat(slice_text(text, F.lit(0), a + len(start)), before, new, after, slice_text(text, b, F.length(text))))
 
 
+def required(text: Column, message: str) -> Column:
+    """The text; an error where it is null."""
+    return F.coalesce(text, F.raise_error(F.lit(message)).cast("string"))
+
+
 def splice_brackets(text: Column, new: Column, opening: str = "[[", closing: str = "]]") -> Column:
     """`new` and a line end from the first opening to the last closing brackets; null where they do not enclose."""
     a, b = position(text, opening), last_position(text, closing)

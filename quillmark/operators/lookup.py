@@ -29,6 +29,16 @@ def find_index(df: DataFrame, column: str, value: object, pos: str) -> DataFrame
     return find_record(df, column, value, pos).select(pos)
 
 
+def find_place(df: DataFrame, column: str, value: object, *order: str) -> DataFrame:
+    """pos: the 0-based place, in that order, of the first row whose cell equals the value; no row if there is none.
+
+    The rows before it are counted; nothing is sorted or numbered. The order must tell rows apart."""
+    place = F.struct(*order)
+    first = df.where(F.col(column).eqNullSafe(F.lit(value))).agg(F.min(place).alias("_first")).where("_first is not null")
+    counted = df.select(place.alias("_place")).crossJoin(F.broadcast(first))  # one row
+    return counted.agg(F.count_if(F.col("_place") < F.col("_first")).alias("pos"), F.count("*").alias("_any")).where("_any > 0").select("pos")
+
+
 def with_fallbacks(df: DataFrame, dim: DataFrame, key: str, value: str, only: str, others: Sequence[str], prefix: str = "", to: str | None = None) -> DataFrame:
     """df with the value looked up by the upper-cased column `only` if that is not null, else by the
     first of the others that has one. The table has a row for each key; Spark picks the join."""

@@ -22,10 +22,14 @@ MergeFunction = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Policy:
-    """How a matched row's new and historical value become one."""
+    """How a matched row's new and historical value become one.
+
+    `over` says what new values that follow each other over one row come to, as an aggregate of the
+    value and its position; without it they are folded one by one, which takes all rows of a key."""
 
     name: str
     combine: MergeFunction
+    over: MergeFunction | None = None
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Policy) and (self.name, self.combine) == (other.name, other.combine)
@@ -45,12 +49,24 @@ def _filled_old(new: Column, old: Column) -> Column:
     return F.when(old != "", old).otherwise(new)
 
 
-OVERWRITE = Policy("overwrite", _take_new)
-PRESERVE = Policy("preserve history", _prefer_old)
-PREFER_NEW = Policy("merge, new first", _take_new)
-PREFER_OLD = Policy("merge, history first", _prefer_old)
+def _last(value: Column, pos: Column) -> Column:
+    return F.max_by(value, pos)
+
+
+def _first_known(value: Column, pos: Column) -> Column:
+    return F.min_by(value, F.when(value.isNotNull(), pos))
+
+
+def _first_filled(value: Column, pos: Column) -> Column:
+    return F.coalesce(F.min_by(value, F.when(value != "", pos)), F.max_by(value, pos))
+
+
+OVERWRITE = Policy("overwrite", _take_new, _last)
+PRESERVE = Policy("preserve history", _prefer_old, _first_known)
+PREFER_NEW = Policy("merge, new first", _take_new, _last)
+PREFER_OLD = Policy("merge, history first", _prefer_old, _first_known)
 #: History wins if it is a string that is not empty.
-KEEP_FILLED = Policy("custom: filled history", _filled_old)
+KEEP_FILLED = Policy("custom: filled history", _filled_old, _first_filled)
 
 
 def custom(combine: MergeFunction) -> Policy:

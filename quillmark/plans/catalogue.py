@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import diff, lookup, merge, sets
-from ..operators.mapping import KEEP_FILLED, OVERWRITE, PREFER_OLD, PRESERVE, TableBuilder
+from ..operators.mapping import KEEP_FILLED, OVERWRITE, PREFER_NEW, PREFER_OLD, PRESERVE, TableBuilder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,7 +78,7 @@ def diff_summary(spark, sf_dir):
     return diff.diff_summary(diff.keyed_diff(new, old, "k"), new, old)
 
 
-@_query(f"{_SUMMARY} SELECT 'Added: ' || added || chr(10) || 'Deleted: ' || deleted || chr(10) || 'Modified: ' || modified || chr(10) || 'Total new: ' || total_new || chr(10) || 'Total historical: ' || total_historical AS report FROM s")
+@_query(f"{_SUMMARY} SELECT '数据比较报告:' || chr(10) || '  新增: ' || added || ' 条' || chr(10) || '  删除: ' || deleted || ' 条' || chr(10) || '  修改: ' || modified || ' 条' || chr(10) || '  新数据总数: ' || total_new || ' 条' || chr(10) || '  历史数据总数: ' || total_historical || ' 条' AS report FROM s")
 def diff_report(spark, sf_dir):
     return diff.summary_text(diff_summary(spark, sf_dir))
 
@@ -97,12 +97,33 @@ def diff_detailed(spark, sf_dir):
 
 @_query(f"{_BOTH} SELECT n.k FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.k = n.k)")
 def diff_added(spark, sf_dir):
-    return _new(spark, sf_dir).join(_old(spark, sf_dir), "k", "left_anti").select("k")
+    return diff.keyed_diff(_new(spark, sf_dir), _old(spark, sf_dir), "k").where(F.col("status") == diff.ADDED).select("k")
 
 
 @_query(f"{_BOTH} SELECT h.k FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE h.k = n.k)")
 def diff_deleted(spark, sf_dir):
-    return _old(spark, sf_dir).join(_new(spark, sf_dir), "k", "left_anti").select("k")
+    return diff.keyed_diff(_new(spark, sf_dir), _old(spark, sf_dir), "k").where(F.col("status") == diff.DELETED).select("k")
+
+
+_SUPPLIERS = "s_suppkey AS k, s_name AS name, s_nationkey AS nation"
+_SUPPLIED = f"""WITH n AS (SELECT {_SUPPLIERS} FROM supplier WHERE s_suppkey % 9 <> 0), h AS (SELECT k + CASE WHEN k % 5 = 0 THEN 1000000 ELSE 0 END AS k, name, nation + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS nation FROM (SELECT {_SUPPLIERS} FROM supplier)),
+  a AS (SELECT k FROM n WHERE k NOT IN (SELECT k FROM h)), d AS (SELECT k FROM h WHERE k NOT IN (SELECT k FROM n)), m AS (SELECT n.k, 'nation: ' || h.nation || ' => ' || n.nation AS change FROM n JOIN h USING (k) WHERE n.nation <> h.nation)"""
+
+
+@_query(
+    f"""{_SUPPLIED} SELECT '数据比较报告:' || chr(10) || '  新增: ' || (SELECT count(*) FROM a) || ' 条' || chr(10) || '  删除: ' || (SELECT count(*) FROM d) || ' 条' || chr(10) || '  修改: ' || (SELECT count(*) FROM m) || ' 条' || chr(10)
+    || '  新数据总数: ' || (SELECT count(*) FROM n) || ' 条' || chr(10) || '  历史数据总数: ' || (SELECT count(*) FROM h) || ' 条' || chr(10) || chr(10)
+    || coalesce((SELECT '新增记录:' || chr(10) || string_agg('  + ' || k || chr(10), '' ORDER BY k) || chr(10) FROM a), '')
+    || coalesce((SELECT '删除记录:' || chr(10) || string_agg('  - ' || k || chr(10), '' ORDER BY k) || chr(10) FROM d), '')
+    || coalesce((SELECT '修改记录:' || chr(10) || string_agg('  * ' || k || ':' || chr(10) || '      ' || change || chr(10), '' ORDER BY k) FROM m), '') AS report"""
+)
+def detailed_report(spark, sf_dir):
+    from .jobs import compare_report
+
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("pos"))
+    k = F.col("k")
+    old = rows.withColumns({"k": k + F.when(k % 5 == 0, 1000000).otherwise(0), "nation": F.col("nation") + F.when(k % 4 == 0, 1).otherwise(0)})
+    return compare_report(rows.where(k % 9 != 0), old, "k")
 
 
 def _merge_query(name: str, policy, expression: str):
@@ -116,6 +137,7 @@ def _merge_query(name: str, policy, expression: str):
 
 
 _merge_query("merge_overwrite", OVERWRITE, "n.{c}")
+_merge_query("merge_new_first", PREFER_NEW, "n.{c}")
 _merge_query("merge_preserve", PRESERVE, "coalesce(h.{c}, n.{c})")
 _merge_query("merge_priority", PREFER_OLD, "coalesce(h.{c}, n.{c})")
 
@@ -125,14 +147,29 @@ def merge_custom_nonempty(spark, sf_dir):
     return merge.merge_with_history(_new(spark, sf_dir).drop("pos"), _old(spark, sf_dir), "k", {"prio": KEEP_FILLED})
 
 
-@_query(f"{_BOTH} SELECT coalesce(n.k, h.k) AS k, coalesce(n.price, h.price) AS price, CASE WHEN n.k IS NULL OR h.prio <> '' THEN h.prio ELSE n.prio END AS prio, coalesce(n.st, h.st) AS st, coalesce(h.pos, 1099511627776 + n.pos) AS pos FROM n FULL JOIN h ON n.k = h.k")
+@_query(
+    f"""{_BOTH}, n2 AS (SELECT * FROM n UNION ALL SELECT k, price + 5, CASE WHEN k % 2 = 0 THEN '' ELSE 'again' END, st, pos + 5000000 FROM n WHERE k % 13 = 0),
+    h2 AS (SELECT * FROM h UNION ALL SELECT k, price - 1, prio, 'dup', pos + 20000000 FROM h WHERE k % 17 = 0), f AS (SELECT k, min(pos) AS first FROM h2 GROUP BY k),
+    g AS (SELECT k, arg_max(price, pos) AS price, coalesce(arg_min(prio, pos) FILTER (WHERE prio <> ''), arg_max(prio, pos)) AS prio, arg_max(st, pos) AS st, min(pos) AS pos FROM n2 GROUP BY k)
+    SELECT h2.k, CASE WHEN g.k IS NULL THEN h2.price ELSE g.price END AS price, CASE WHEN g.k IS NULL OR h2.prio <> '' THEN h2.prio ELSE g.prio END AS prio, CASE WHEN g.k IS NULL THEN h2.st ELSE g.st END AS st, h2.pos, false AS is_new
+    FROM h2 LEFT JOIN f ON f.k = h2.k AND f.first = h2.pos LEFT JOIN g ON g.k = f.k
+    UNION ALL SELECT k, price, prio, st, pos, true FROM g WHERE k NOT IN (SELECT k FROM h2)"""
+)
 def upsert_records(spark, sf_dir):
-    return merge.upsert(_new(spark, sf_dir), _old(spark, sf_dir), "k", {"prio": KEEP_FILLED})
+    """With keys that stand more than once on either side."""
+    new, old, k = _new(spark, sf_dir), _old(spark, sf_dir), F.col("k")
+    more = new.where(k % 13 == 0).withColumns({"price": F.col("price") + 5, "prio": F.when(k % 2 == 0, "").otherwise("again"), "pos": F.col("pos") + 5000000})
+    twice = old.where(k % 17 == 0).withColumns({"price": F.col("price") - 1, "st": F.lit("dup"), "pos": F.col("pos") + 20000000})
+    return merge.upsert(new.unionByName(more), old.unionByName(twice), "k", {"prio": KEEP_FILLED})
 
 
-@_query(f"WITH {_NEW} SELECT k, price, prio, st FROM n")
+_ORDER = TableBuilder().field("k", "number").field("price", "number").field("prio", "string").field("st", "string").direct("prio", "o_orderpriority").direct("st", "o_orderstatus").direct("k", "o_orderkey").computed("price", lambda df: F.round("o_totalprice")).build()
+
+
+@_query(f"WITH {_NEW} SELECT CAST(k AS DOUBLE) AS k, CAST(price AS DOUBLE) AS price, prio, st FROM n")
 def replace_records(spark, sf_dir):
-    return _new(spark, sf_dir).select("k", "price", "prio", "st")
+    """A full replacement takes the mapped rows and nothing of history."""
+    return _ORDER.map(_read(spark, sf_dir, "orders"))
 
 
 _CUSTOMER = (
@@ -206,7 +243,7 @@ def lookup_first_wins(spark, sf_dir):
 
 @_query("WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT pos FROM r WHERE p_size = 9 ORDER BY pos LIMIT 1")
 def point_lookup_idx(spark, sf_dir):
-    return lookup.find_index(merge.numbered(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), "p_size", 9, "pos")
+    return lookup.find_place(_read(spark, sf_dir, "part"), "p_size", 9, "p_partkey")
 
 
 @_query("SELECT * FROM part WHERE p_size = 9 ORDER BY p_partkey LIMIT 1")
@@ -305,21 +342,20 @@ def marker_extract(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", X.between_markers(F.col("html"), "<title>", "</title>").alias("title"))
 
 
-@_query("SELECT page_id, substr(html, 1, instr(html, '<p>') + 2) || 'x' || chr(10) || substr(html, length(html) - instr(reverse(html), '>p/<') - 2) AS html FROM pages WHERE contains(html, '</p>')")
+_LAST = "length(html) - instr(reverse(html), '>p/<') - 2"
+
+
+@_query(f"SELECT page_id, CASE WHEN instr(html, '<p>') > 0 AND instr(reverse(html), '>p/<') > 0 AND instr(html, '<p>') < {_LAST} THEN substr(html, 1, instr(html, '<p>') + 2) || 'x' || chr(10) || substr(html, {_LAST}) END AS html FROM pages")
 def span_first_last(spark, sf_dir):
-    spliced = X.splice_brackets(F.col("html"), F.lit("x"), "<p>", "</p>")
-    # The title's script has a </p> of its own, before the first <p>; a page without another has no span.
-    return _read(spark, sf_dir, "pages").where(F.col("html").contains("</p>")).select("page_id", F.coalesce(spliced, _crossed(F.col("html"))).alias("html"))
+    return _read(spark, sf_dir, "pages").select("page_id", X.splice_brackets(F.col("html"), F.lit("x"), "<p>", "</p>").alias("html"))
 
 
-def _crossed(html):
-    first, last = X.position(html, "<p>"), X.last_position(html, "</p>")
-    return F.concat(X.slice_text(html, F.lit(0), first + 3), F.lit("x\n"), X.slice_text(html, last, F.length(html)))
+_OUTSIDE = "[^\\p{L}\\p{N}_]"
 
 
-@_query("SELECT doc_id, regexp_replace(text, '\\bthe\\b', '_X_', 'g') AS text FROM documents WHERE lang = 'en'")
+@_query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '(^|{_OUTSIDE})the($|{_OUTSIDE})', '\\1_X_\\2', 'g'), '(^|{_OUTSIDE})the($|{_OUTSIDE})', '\\1_X_\\2', 'g') AS text FROM documents")
 def ident_replace(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.replace_identifier(F.col("text"), "the", "_X_").alias("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", X.replace_identifier(F.col("text"), "the", "_X_").alias("text"))
 
 
 @_query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, '') END AS joined FROM part")
@@ -358,10 +394,67 @@ def json_record(spark, sf_dir):
     return nation.select("n_nationkey", record_json("n_name", "n_nationkey", "gap", "far").alias("record"))
 
 
-@_query(f"{_BOTH} SELECT n.k, 'prio: ' || coalesce(h.prio, 'null') || ' => ' || coalesce(n.prio, 'null') AS line FROM n LEFT JOIN h ON n.k = h.k WHERE n.prio IS DISTINCT FROM h.prio")
+@_query(f"{_BOTH} SELECT n.k, 'prio: ' || coalesce(h.prio, 'null') || ' => ' || coalesce(n.prio, 'null') AS line FROM n JOIN h ON n.k = h.k WHERE n.prio IS DISTINCT FROM h.prio")
 def format_change(spark, sf_dir):
-    met = _new(spark, sf_dir).alias("n").join(_old(spark, sf_dir).alias("h"), "k", "left").where(~F.col("n.prio").eqNullSafe(F.col("h.prio")))
-    return met.select("k", X.show_change(F.lit("prio"), F.col("h.prio"), F.col("n.prio")).alias("line"))
+    changes = diff.changes_long(diff.keyed_diff(_new(spark, sf_dir), _old(spark, sf_dir), "k"), "k")
+    return changes.where("field = 'prio'").select("k", X.show_change(F.col("field"), F.col("old"), F.col("new")).alias("line"))
+
+
+@_query("SELECT event_id, TRY_CAST(t AS FLOAT) AS f FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_id || '.25' ELSE ' 1' END AS t FROM events) WHERE event_id % 3 < 2 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 2")
+def parse_floats(spark, sf_dir):
+    k = F.col("event_id")
+    token = F.when(k % 3 == 0, F.col("event_type")).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".25"))).otherwise(" 1")
+    return _read(spark, sf_dir, "events").select("event_id", X.parse_float(token).alias("f"))
+
+
+@_query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS b FROM events")
+def parse_bools(spark, sf_dir):
+    token = F.element_at(F.array(F.lit("true"), F.lit("false"), F.lit("True"), F.col("event_type")), (F.col("event_id") % 4 + 1).cast("int"))
+    return _read(spark, sf_dir, "events").select("event_id", X.parse_bool(token).alias("b"))
+
+
+@_query("SELECT event_id, event_id % 2 = 0 AS due FROM events")
+def json_changed(spark, sf_dir):
+    """The same value with other spacing, and for even ids another value."""
+    new = F.concat(F.lit(" "), F.replace("props", F.lit(":"), F.lit(" : ")), F.lit("\n"))
+    other = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), new, F.lit("]"))).otherwise(new)
+    return _read(spark, sf_dir, "events").select("event_id", diff.content_changed(F.col("props"), other, json=True).alias("due"))
+
+
+@_query("SELECT upper(p_name) || '_' || p_partkey AS code, p_type AS name FROM part WHERE p_size % 2 = 0")
+def entity_names(spark, sf_dir):
+    from ..sources import po
+
+    context = F.concat(F.when(F.col("p_size") % 2 == 0, "STRINGS.NAMES.").otherwise("STRINGS.UI."), F.upper("p_name"), F.lit("_"), F.col("p_partkey").cast("string"))
+    return po.entity_names(_read(spark, sf_dir, "part").select(context.alias("msgctxt"), F.col("p_type").alias("msgstr")))
+
+
+_TECHS = "SELECT DISTINCT 'TECH.' || p_brand AS name FROM part WHERE p_size > 45"
+
+
+@_query(f"SELECT name FROM ({_TECHS})")
+def listed_names(spark, sf_dir):
+    """Quoted names that open lines of a text; a line with another start lists none."""
+    lines = F.concat(F.when(F.col("p_size") > 45, "  ").otherwise("x "), F.lit("'TECH."), "p_brand", F.lit("', 1\n-- 'TECH.NO'"))
+    return sets.listed_names(_read(spark, sf_dir, "part").select(lines.alias("text")), "text")
+
+
+@_query(
+    """WITH f AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size > 45), l AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size <= 2), e AS (SELECT name FROM f WHERE name NOT IN (SELECT name FROM l))
+    SELECT '=== Tech 比较报告 ===' || chr(10) || chr(10) || '解析出的Tech数量: ' || (SELECT count(*) FROM f) || chr(10) || 'Wiki页面中的Tech数量: ' || (SELECT count(*) FROM l) || chr(10) || '解析中有但Wiki中没有的Tech数量: ' || (SELECT count(*) FROM e) || chr(10) || chr(10)
+    || coalesce((SELECT '解析中有但Wiki中没有的Tech:' || chr(10) || string_agg('  - ' || name || chr(10), '' ORDER BY name) FROM e), '所有解析出的Tech都存在于Wiki页面中。' || chr(10)) AS report"""
+)
+def tech_report(spark, sf_dir):
+    name = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
+    return sets.report_text(name.where("p_size > 45"), name.where("p_size <= 2"))
+
+
+@_query("SELECT n_nationkey, 'Language: ' || n_name || chr(10) || 'Plural: ' || n_regionkey AS header FROM nation")
+def po_headers(spark, sf_dir):
+    from ..sources import po
+
+    text = F.concat(F.lit('msgid ""\nmsgstr ""\n"Language: '), "n_name", F.lit('\\n"\n"Plural: '), F.col("n_regionkey").cast("string"), F.lit('\\n"\n\nmsgid "a"\nmsgstr "b"\n'))
+    return po.read_headers(_read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), "text", "n_nationkey")
 
 
 @_query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import category, replace_between_markers, splice_brackets, strip_prefix
+from ..functions.text import category, replace_between_markers, required, splice_brackets, strip_prefix
 from ..operators import diff, lookup, sets
 from ..operators.merge import merge_with_history
 from ..operators.mapping import Table
@@ -58,6 +58,17 @@ def tech_report(recipes: DataFrame, page: DataFrame) -> tuple[DataFrame, DataFra
     return sets.set_report(used, listed), sets.missing_names(used, listed)
 
 
+def tech_report_text(recipes: DataFrame, page: DataFrame) -> DataFrame:
+    """One row, `report`."""
+    return sets.report_text(recipes.select(F.col("tech").alias("name")), sets.listed_names(page, "content"))
+
+
+def compare_report(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """One row, `report`: what differs between two tables, with its summary."""
+    found = diff.keyed_diff(new, old, key)
+    return diff.detailed_report(found, diff.diff_summary(found, new, old), key)
+
+
 def crafting_names(entries: DataFrame) -> DataFrame:
     """One row, `content`: stations and craftings with their names, sorted by key, the last of a key."""
     context = F.col("msgctxt")
@@ -70,9 +81,13 @@ def crafting_names(entries: DataFrame) -> DataFrame:
 
 
 def copy_variable(source: DataFrame, page: DataFrame, name: str, end_name: str | None = None) -> DataFrame:
-    """One row, `content`: the page with the source's assignment, or range of them, between its markers."""
-    span = lua.read_spans(source, "content", name, end_name).select(F.col("content").alias("new"))
-    return page.select(F.col("content").alias("old")).crossJoin(span).select(replace_between_markers(F.col("old"), F.col("new")).alias("content"))  # one row each
+    """One row, `content`: the page with the source's assignment, or range of them, between its markers.
+
+    It is an error if the source has no such assignment or the page no markers in their order."""
+    span = lua.read_spans(source, "content", name, end_name).agg(F.first("content").alias("new"))
+    new = required(F.col("new"), f"the source does not assign {name}" + (f" and then {end_name}" if end_name else ""))
+    edited = replace_between_markers(F.col("old"), new)
+    return page.select(F.col("content").alias("old")).crossJoin(span).select(required(edited, "the page lacks a start and an end marker, in this order").alias("content"))  # one row each
 
 
 def copy_filters(source: DataFrame, page: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ def copy_filters(source: DataFrame, page: DataFrame) -> DataFrame:
 def copy_names(entries: DataFrame, page: DataFrame) -> DataFrame:
     """One row, `content`: the page with the names' JSON between its outer brackets."""
     new = crafting_names(entries).select(F.col("content").alias("new"))
-    return page.select(F.col("content").alias("old")).crossJoin(new).select(splice_brackets(F.col("old"), F.col("new")).alias("content"))  # one row each
+    return page.select(F.col("content").alias("old")).crossJoin(new).select(required(splice_brackets(F.col("old"), F.col("new")), "the page has no pair of double brackets").alias("content"))  # one row each
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:

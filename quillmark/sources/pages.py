@@ -19,6 +19,10 @@ class PageNotFound(LookupError):
     """The store has no page of this title."""
 
 
+class EditRefused(ValueError):
+    """The new content is missing, or not one row."""
+
+
 class PageStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -50,14 +54,17 @@ class PageStore:
         stamped = rows.withColumns({"last_rev_user": F.lit(user), "last_rev_timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
         stamped.write.mode("append").parquet(self.path)
 
-    def edit(self, title: str, content: DataFrame, user: str = "bot", position: str = "replace", confirmed: bool = False, trimmed: bool = False) -> str:
+    def edit(self, title: str, content: DataFrame, user: str = "bot", position: str = "replace", confirmed: bool = False, json: bool = False) -> str:
         """Replace a page by the one row's `content`, or add it at the page's end or start.
 
-        Without confirmation nothing is written. Returns unchanged, pending or written."""
+        Without confirmation nothing is written; null is never written. Returns unchanged, pending or written."""
+        content = content.select("content").limit(2)  # a page is one object
+        if [r.known for r in content.select(F.col("content").isNotNull().alias("known")).collect()] != [True]:
+            raise EditRefused(f"{title}: one row of content that is not null is needed")
         old = self.get(title).select(F.col("content").alias("old"), "last_rev_id")
         both = old.crossJoin(content.select(F.col("content").alias("new")))  # one row each
         text = {"replace": F.col("new"), "append": F.concat("old", "new"), "prepend": F.concat("new", "old")}[position]
-        due = both.select(F.lit(title).alias("title"), text.alias("content"), (F.col("last_rev_id") + 1).alias("last_rev_id"), content_changed(F.col("old"), text, trimmed).alias("due")).where("due").drop("due")
+        due = both.select(F.lit(title).alias("title"), text.alias("content"), (F.col("last_rev_id") + 1).alias("last_rev_id"), content_changed(F.col("old"), text, json).alias("due")).where("due").drop("due")
         if due.isEmpty():
             return "unchanged"
         if not confirmed:

@@ -34,8 +34,12 @@ def _parts(text: str) -> list[str]:
     return [_ESCAPE.sub(lambda m: _ESCAPES.get(m[1], m[0]), p) for p in bare]
 
 
+#: White space as Unicode has it; Python's own strip() takes U+001C to U+001F for it as well.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _value(text: str | None) -> str | None:
-    return None if text is None else "".join(_parts(text)).strip()
+    return None if text is None else "".join(_parts(text)).strip(_WHITE)
 
 
 def parse(text: str | None) -> tuple[str | None, list[tuple[str | None, str, str, str | None]]]:
@@ -45,12 +49,12 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[str | None, str, str
     text = (text or "").replace("\r\n", "\n")
     header, at = None, 0
     if m := _HEADER.match(text):
-        header, at = "\n".join(p.strip() for p in _parts(m[1])), m.end()
+        header, at = "\n".join(p.strip(_WHITE) for p in _parts(m[1])), m.end()
     while text.startswith("\n", at):
         at += 1
     entries = []
     while m := _ENTRY.match(text, at):
-        entries.append((_value(m[2]), _value(m[3]), _value(m[4]), m[1].strip() if m[1] is not None else None))
+        entries.append((_value(m[2]), _value(m[3]), _value(m[4]), m[1].strip(_WHITE) if m[1] is not None else None))
         at = m.end()
     return header, entries
 
@@ -61,12 +65,24 @@ class _Entries:
             yield (pos, *entry)
 
 
+class _Header:
+    def eval(self, text: str) -> Iterator[tuple]:
+        yield (parse(text)[0],)
+
+
 po_entries = F.udtf(_Entries, returnType=ENTRY)
+po_header = F.udtf(_Header, returnType="header string")
 
 
 def register(spark: SparkSession) -> None:
-    """Make `po_entries(text)` known to SQL."""
+    """Make `po_entries(text)` and `po_header(text)` known to SQL."""
     spark.udtf.register("po_entries", po_entries)
+    spark.udtf.register("po_header", po_header)
+
+
+def read_headers(files: DataFrame, text: str, *carry: str) -> DataFrame:
+    """The header of each file's text, null if it does not start with one, and columns to carry along."""
+    return files.alias("file").lateralJoin(po_header(F.col(f"file.{text}").outer()).alias("h")).select(*(F.col(f"file.{c}") for c in carry), "h.header")
 
 
 def read_entries(files: DataFrame, text: str, *carry: str) -> DataFrame:

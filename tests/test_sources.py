@@ -100,7 +100,11 @@ def test_copying_between_markers_and_brackets(spark):
     page = "top\n-- COPYCLIPSTART --\nold\n-- COPYCLIPEND --\nend"
     got = jobs.copy_variable(one("local T = { 1 }\nU = 2"), one(page), "T").first().content
     assert got == "top\n-- COPYCLIPSTART --\nlocal T = { 1 }\n-- COPYCLIPEND --\nend"
-    assert jobs.copy_variable(one("T = 1"), one("no markers"), "T").first().content is None
+    for source, edited, wrong in (("T = 1", "no markers", "marker"), ("T = 1", "-- COPYCLIPEND ---- COPYCLIPSTART --", "marker"), ("U = 1", page, "assign T")):
+        with pytest.raises(Exception, match=wrong):
+            jobs.copy_variable(one(source), one(edited), "T").collect()
+    with pytest.raises(Exception, match="brackets"):
+        jobs.copy_names(spark.createDataFrame([], po.ENTRY), one("no brackets")).collect()
     entries = spark.createDataFrame([(0, "STRINGS.UI.CRAFTING_FILTERS.B", "b", "乙", None), (1, "STRINGS.UI.CRAFTING_STATION_FILTERS.A", "a", "甲", None), (2, "STRINGS.UI.CRAFTING_FILTERS.A", "x", "丙", None)], po.ENTRY)
     text = jobs.copy_names(entries, one("return [[ old ]] tail")).first().content
     assert text.startswith('return [[{"crafting_stations":{"A":') and text.endswith("}}\n]] tail")
@@ -112,6 +116,7 @@ def test_tech_report(spark):
     page = spark.createDataFrame([("x\n 'TECH.A', 'TECH.B'\n\"CATE:z\",\n\"TECH.C\"",)], "content string")
     counts, extra = jobs.tech_report(recipes, page)
     assert tuple(counts.first()) == (2, 2, 1, True) and [r.name for r in extra.collect()] == ["TECH.B"]
+    assert jobs.tech_report_text(recipes, page).first().report.endswith("\n  - TECH.B\n") and jobs.tech_report_text(recipes.limit(1), page).first().report.endswith("Wiki页面中。\n")
 
 
 def test_archives(spark, tmp_path):
@@ -128,7 +133,11 @@ def test_page_store_writes_only_what_changed_and_is_confirmed(spark, tmp_path):
     store = pages.PageStore(spark, str(tmp_path / "pages"))
     store.create(spark.createDataFrame([("P", ' {"a": 1} ')], "title string, content string"))
     new = lambda t: spark.createDataFrame([(t,)], "content string")
-    assert store.edit("P", new('{"a": 1}'), trimmed=True) == "unchanged"
+    assert store.edit("P", new('{"a": 1}'), json=True) == "unchanged"
+    assert store.edit("P", new('{\n  "a":1\n}'), json=True) == "unchanged"
+    for nothing in (spark.createDataFrame([(None,)], "content string"), new("x").limit(0), new("x").union(new("y"))):
+        with pytest.raises(pages.EditRefused):
+            store.edit("P", nothing, confirmed=True)
     assert store.edit("P", new("x")) == "pending" and store.get("P").first().last_rev_id == 1
     assert store.edit("P", new("x"), confirmed=True) == "written"
     assert store.edit("P", new("y"), position="append", confirmed=True) == "written"

@@ -9,7 +9,8 @@ once and every store that Spark knows will do.
 
 Null and empty texts have the end id alone. Rows with the same doc_id follow each other in the
 order of their texts' hashes; null ids come first. Other columns of the input are not read.
-No documents make no segments.
+No documents make no segments. A segment is coded in one task, with 200 KB of models for each
+block of 4,096 ids: 100 MB, unless one document alone is larger, by 50 bytes an id.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ of good quality, at most TRUSTED of them, chosen by the hash of their ids.
 
 Null, empty and blank texts have no words, so they fail the base rules; their score is 0.
 Without trusted documents every score is 0. Rows are judged one by one, so repeated rows and
-ids stay; other columns of the input are not read.
+ids stay; other columns of the input are not read. No documents give no rows. The words and
+windows of a text are JVM arrays, about 40 bytes a word while it is judged; places of words
+have 28 bits, so a text of over 268 million words, 0.5 GB at least, is an error.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def _recurring(hashes: Column, places: Column, low: int) -> Column:
     def equal(a: Column, b: Column) -> Column:
         return F.coalesce(F.shiftrightunsigned(a.bitwiseXOR(b), _PLACE_BITS) == 0, F.lit(False))
 
-    keys = F.sort_array(F.transform(places, key))
+    keys = F.when(F.size(hashes) > 1 << _PLACE_BITS, F.raise_error(F.lit("a text has too many words")).cast("array<bigint>")).otherwise(F.sort_array(F.transform(places, key)))
     # The sorted keys are bound once, as the only element of an array, so that they are not sorted for each place.
     found = F.transform(F.array(keys), lambda s: F.filter(s, lambda k, i: equal(k, F.get(s, i + 1)) | equal(k, F.get(s, i - 1))))
     return F.transform(found[0], lambda k: k.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))

@@ -10,7 +10,8 @@ hold integers only, so a decoder repeats the encoder's steps exactly.
 Blocks are independent, so all blocks of a segment take each step together, in NumPy arrays
 with an element for each block. A segment's bytes are, little-endian: MAGIC, the number of
 blocks; of each block its ids, its bytes and the CRC-32 of its ids as 32-bit integers; then
-the blocks' bytes. Empty segments have no blocks.
+the blocks' bytes. Empty segments have no blocks. Ids of over 16 bits are coded in halves: WIDE,
+the bytes of the segment of the higher halves, and the segments of the higher and the lower ones.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK_IDS = b"QMT1", 4096
+MAGIC, WIDE, BLOCK_IDS = b"QMT1", b"QMT2", 4096
 #: Nodes above the nibbles of ranks 0 to 3, and slots of the tables of followers.
 _NODES, _SLOTS = (0, 1, 17, 273), 1 << 12
 _RAISE, _LIMIT, _MOST_GAIN = 24, 2048, 24
@@ -150,9 +151,10 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
-    """The bytes of a segment; ids are below 65536."""
+    """The bytes of a segment of unsigned 32-bit ids."""
     if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids of 16 bits at most can be coded")
+        high, low = encode_segment(ids >> 16), encode_segment(ids & 0xFFFF)
+        return WIDE + struct.pack("<I", len(high)) + high + low
     blocks = -(-len(ids) // BLOCK_IDS)
     if not blocks:
         return MAGIC + struct.pack("<I", 0)
@@ -169,6 +171,9 @@ def encode_segment(ids: np.ndarray) -> bytes:
 
 def decode_segment(data: bytes) -> np.ndarray:
     """The ids of a segment, after all its checksums have been compared."""
+    if data[:4] == WIDE and len(data) >= 8:
+        (high,) = struct.unpack_from("<I", data, 4)
+        return decode_segment(data[8 : 8 + high]) << 16 | decode_segment(data[8 + high :])
     if data[:4] != MAGIC or len(data) < 8:
         raise SegmentError("no segment of token ids")
     (blocks,) = struct.unpack_from("<I", data, 4)

@@ -1,14 +1,16 @@
 """SimHash near-duplicates: fingerprints, exact pairs by sharded vantage-point trees, components.
 
 Fingerprints of equal value are one node. The nodes are dealt to the leaves of a router tree
-(see vp_tree) whose size follows their number, up to MOST_LEAVES; a node also visits, as a
-query, half of the leaves that its ball of LINK_BITS may overlap, so each close pair meets in
+(see vp_tree) whose size follows their number, up to MOST_LEAVES, as the router is fitted on a
+sample in the driver. Beyond 8 million distinct fingerprints the shards grow instead: with
+10^10 of them a shard holds 2.4 million, 22 bytes each. A node also visits, as a query, half of the leaves that its ball of LINK_BITS may overlap, so each close pair meets in
 exactly one shard. A shard grows its own tree, links what it finds in a union-find and
 returns a spanning forest, at most one row a node, so a dense group does not emit its pairs.
 
 Null and empty texts, and texts of white space, have the fingerprint 0, which links like any
 other. Repeated rows stay. A null doc_id counts for no component_id; if all of a component
-are null, its component_id is null. Other columns of the input are not read.
+are null, its component_id is null. No documents give no rows; a very long text is hashed
+in parts, but its words are held at once. Other columns of the input are not read.
 """
 
 from __future__ import annotations

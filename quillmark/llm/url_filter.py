@@ -13,7 +13,8 @@ its rows in SALTS copies, so that the expressions of a common host spread.
 
 Null URLs and URLs without `://` have an empty host and path, which fit no rule. Where no rule
 fits, rule is null and the verdict is the default. Repeated rows stay, each judged for itself.
-Rules with a null host or path are ignored. Other columns of the input are not read.
+No pages give no rows. A very long
+path has as many expressions as the deepest rule has slashes, at most. Rules with a null host or path are ignored. Other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -392,3 +392,52 @@ def test_pieces_give_the_ids_of_the_whole(request, name):
         ids, sizes = enc.encode(pa.array(some).slice(k))
         want = [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in some[k:]], add_special_tokens=False)]
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want and enc.count(pa.array(some).slice(k)).tolist() == list(map(len, want))
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The hash of several columns is that of each with the hash of those before as seed."""
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b c d"), (3, "x"), (4, None), (5, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1)], "doc_id long, quality int")
+    bucket = lambda *ws: __import__("functools").reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), ws, 42)
+    place = lambda *ws: int(np.uint64(bucket(*ws)).view(np.int64)) % quality.BUCKETS
+    grams = {r.doc_id: [place(*g) for w in [(r.text or "").split()] for g in [(x,) for x in w] + list(zip(w, w[1:]))] for r in docs.collect()}
+    raw, good = Counter(x for g in grams.values() for x in g), Counter(x for i in (1, 5) for x in grams[i])
+    n_raw, n_good = sum(raw.values()) + quality.BUCKETS, sum(good.values()) + quality.BUCKETS
+    ratio = lambda x: np.log((good[x] + 1) / n_good) - np.log((raw[x] + 1) / n_raw)
+    for r in quality.judge(docs, labels, threshold=-9).collect():
+        want = np.mean([ratio(x) for x in grams[r.doc_id]]) if grams[r.doc_id] else 0
+        assert abs(r.score - want) < 1e-4 and not r.kept and r.base_failed
+
+
+def test_equal_rules_block(spark):
+    rules = [("allow", "a.net", "/x"), ("block", "a.net", "/x"), ("allow", "net", "/x/y")]
+    pages = spark.createDataFrame([(1, "h://b.a.net/x/y"), (2, "h://a.net/" + "x/" * 20_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules)).collect()}
+    assert got == {1: ("a.net/x", "block"), 2: ("a.net/x", "block")}
+
+
+def test_ids_of_32_bits_and_files_of_nothing(spark, docs, byte_bpe):
+    ids = np.array([0, 70_000, 2**32 - 1, 65_536, 5], np.uint32)
+    assert range_coder.decode_segment(range_coder.encode_segment(ids)).tolist() == ids.tolist()
+    assert id_files.through_files(docs.limit(0), byte_bpe).count() == 0
+    got = id_files.through_files(docs.limit(5), byte_bpe).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.limit(5).collect())
+
+
+def test_long_documents_are_packed_closely(spark, word_bpe):
+    rows = [(None, "word " * 5000)] + [(i, "some text " * (i * 37 % 400)) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), word_bpe).toPandas()
+    assert got[got.doc_id.isna()].length.sum() == 5001 and got.groupby(got.doc_id.fillna(-1)).length.sum().sum() == got.length.sum()
+    assert got.sequence_id.nunique() * packing.SEQUENCE < 1.03 * got.length.sum()
+
+
+def test_texts_longer_than_a_slice(spark, byte_bpe):
+    text = "The cat, the dog. " * 300_000
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    tok = Tokenizer.from_file(byte_bpe)
+    n = len(tok.encode(text[: 18 * 100], add_special_tokens=False).ids) * 3000
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, byte_bpe).collect()}
+    assert abs(got[1] - n) <= 3000 and got[2] == 2
+    bench = spark.createDataFrame([(1, "the dog the cat")], "item_id long, text string")
+    leaks = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontaminate.leaks_by_document(docs, bench).collect()}
+    assert leaks == {1: (1_200_000, 1_199_996, True), 2: (2, 0, False)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontaminate, language, packing, quality, simhash
+from quillmark.llm import decontaminate, language, near_copies, packing, quality, simhash
 from quillmark.llm.common import new_folder, read_table, scratch, stash
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints op9 links; the README says which near copies stay."""
-    return simhash.keep_first(docs)
+    """One document of each group that op9's fingerprints or a similarity of 0.8 on five-word shingles link."""
+    return simhash.keep_first(docs, similarity=near_copies.SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .components import connected_components
+from .near_copies import surplus
 from .vp_tree import Forest, Router, close_pairs
 
 SHINGLE_WORDS, LINK_BITS, SEED = 3, 2, 42
@@ -122,13 +123,17 @@ def _labelled(prints: DataFrame, reach: int) -> DataFrame:
     return prints.join(stash(named), "fp")
 
 
-def keep_first(docs: DataFrame, reach: int = LINK_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, reach: int = LINK_BITS, similarity: float | None = None) -> DataFrame:
     """The rows of docs with one document of each component: that of the smallest doc_id.
 
     Of rows that share this doc_id, one stays. A component without any doc_id keeps one row.
+    With a similarity, what stays is also rid of near copies on five-word shingles (see near_copies).
     """
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     whole = stash(docs.select(doc, fingerprint(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("row")))
     labelled = _labelled(whole.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", "row"), reach)
-    first = labelled.where("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
-    return whole.join(stash(first).hint("shuffle_hash"), "row", "left_semi").select("doc.*")
+    first = stash(labelled.where("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row")).select("row"))
+    if similarity is not None:
+        held = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+        first = stash(first.join(surplus(held.join(first, "row", "left_semi"), similarity), "row", "left_anti"))
+    return whole.join(first.hint("shuffle_hash"), "row", "left_semi").select("doc.*")

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quillmark.llm import decontaminate, html_extract, id_files, language, lm_score, packing, quality, range_coder, simhash, token_count, url_filter, vp_tree
+from quillmark.llm import decontaminate, html_extract, id_files, language, lm_score, near_copies, packing, quality, range_coder, simhash, token_count, url_filter, vp_tree
 from quillmark.llm.components import connected_components
 from quillmark.llm.html_blocks import blocks
 from quillmark.llm.html_pages import MARK, labelled_pages
@@ -267,6 +267,74 @@ def test_near_duplicates(docs, clashing, monkeypatch, leaf):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def _shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _alike(a, b):
+    return bool(a & b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_copy_groups(pairs):
+    """Of (key, text) pairs the keys of each group that similarities of 0.8 connect."""
+    sets, group = [(k, _shingles(t)) for k, t in pairs], {k: k for k, _ in pairs}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if _alike(x, y) and group[a] != group[b]:
+                gone, to = max(group[a], group[b]), min(group[a], group[b])
+                group.update({k: to for k, g in group.items() if g == gone})
+    return group
+
+
+def _edited(rng, n):
+    """Texts of 60 to 400 words, and copies of each with few or many words replaced."""
+    made = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        made.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            made.append(" ".join(rng.choice(["x", w.upper()]) if rng.random() < rng.choice([0.01, 0.02, 0.05]) else w for w in words))
+    return made
+
+
+def test_shingle_sets_and_similarity():
+    made = [*_edited(random.Random(5), 12), "a b", "A  b", "", " ", "a b c d e", "a b c d e f", "one " * 50]
+    for x in made:
+        assert len(near_copies.shingle_set(x.encode())) == len(_shingles(x))
+        for y in made:
+            assert near_copies.similar(near_copies.shingle_set(x.encode()), near_copies.shingle_set(y.encode())) == _alike(_shingles(x), _shingles(y))
+
+
+def test_near_copies(spark, clashing):
+    """Similar texts are linked, a shared passage links nothing, and the smallest id of each group stays."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(40))
+    made = _edited(rng, 40) + [passage + " " + " ".join(f"q{rng.randrange(9999)}" for _ in range(40)) for _ in range(60)]
+    made += [None, "", " ", "short", "Short", "x " * 9]
+    table = list(enumerate(made))
+    rng.shuffle(table)
+    whole = near_copy_groups(table)
+    docs = spark.createDataFrame([(k, k if k % 7 else None, t) for k, t in table], "row long, doc_id long, text string")
+    gone = {r.row for r in near_copies.surplus(docs).collect()}
+    members = defaultdict(list)
+    for k, g in whole.items():
+        members[g].append(k)
+    assert gone == {k for m in members.values() for k in m} - {min(m, key=lambda k: (k % 7 == 0, k)) for m in members.values()}
+    assert len(gone) > 20
+    assert near_copies.similar_links(docs.select("row", "text").limit(0)).count() == 0
+    kept = simhash.keep_first(clashing, similarity=0.8)
+    assert kept.columns == clashing.columns and kept.count() <= simhash.keep_first(clashing).count()
+    assert simhash.keep_first(clashing.limit(0), similarity=0.8).count() == 0
+
+
+def test_one_large_group_of_near_copies(spark):
+    words = [f"w{k}" for k in range(200)]
+    copies = [" ".join("x" if k in (7 * i % 200, 11 * i % 200) else w for k, w in enumerate(words)) for i in range(1500)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(copies)], "row long, doc_id long, text string")
+    assert {r.row for r in near_copies.surplus(docs).collect()} == set(range(1, 1500))
+
+
 def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

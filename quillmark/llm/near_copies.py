@@ -98,9 +98,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words: int
     return stash(pairs.select("a", "b").join(left, "a").join(right, "b").where(alike("left", "right")).select("a", "b"))
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Links a, b between rows of texts(row long, text string) that connect similar texts; row is distinct."""
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, among: DataFrame | None = None) -> DataFrame:
+    """Links a, b between rows of texts(row long, text string) that connect similar texts; row is distinct.
+
+    Of the rows, those of among(row) count, if given: keys are joined to it, so texts stay where they are.
+    """
     keyed = stash(texts.select("row", _keys_of(F.col("text"), words).alias("keys")))
+    if among is not None:
+        keyed = keyed.join(among, "row", "left_semi")
     members = keyed.select("row", F.explode("keys").alias("key"))
     groups = stash(members.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last"))
     ends = F.array(F.struct(F.col("first").alias("a"), F.col("row").alias("b")), F.struct(F.col("row").alias("a"), F.col("last").alias("b")))
@@ -116,10 +121,10 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, words: int =
     return links.unionByName(_confirmed(stash(rest.where(apart).select("a", "b")), texts, similarity, words))
 
 
-def surplus(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs(row, doc_id, text) that go if one of each group of near copies stays: that of the
+def surplus(docs: DataFrame, similarity: float = SIMILARITY, among: DataFrame | None = None) -> DataFrame:
+    """The rows of docs(row, doc_id, text), or of those among(row), that go if one of each group of near copies stays: that of the
     smallest doc_id, null ids last, then of the smallest row."""
-    roots = connected_components(similar_links(docs.select("row", "text"), similarity))
+    roots = connected_components(similar_links(docs.select("row", "text"), similarity, among=among))
     tied = stash(docs.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     stays = tied.groupBy("root").agg(F.min_by("row", order).alias("row")).select("row")

@@ -135,5 +135,5 @@ def keep_first(docs: DataFrame, reach: int = LINK_BITS, similarity: float | None
     first = stash(labelled.where("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row")).select("row"))
     if similarity is not None:
         held = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
-        first = stash(first.join(surplus(held.join(first, "row", "left_semi"), similarity), "row", "left_anti"))
+        first = stash(first.join(surplus(held, similarity, among=first), "row", "left_anti"))
     return whole.join(first.hint("shuffle_hash"), "row", "left_semi").select("doc.*")

@@ -9,8 +9,8 @@ once and every store that Spark knows will do.
 
 Null and empty texts have the end id alone. Rows with the same doc_id follow each other in the
 order of their texts' hashes; null ids come first. Other columns of the input are not read.
-No documents make no segments. A segment is coded in one task, with 200 KB of models for each
-block of 4,096 ids: 100 MB, unless one document alone is larger, by 50 bytes an id.
+No documents make no segments. A segment is coded in one task, in about 20 bytes an id and 10 MB
+of models: less than 100 MB, unless one document alone is larger.
 """
 
 from __future__ import annotations
@@ -28,40 +28,53 @@ from .common import new_folder, slices_of
 from .pieces import SLICE_BYTES, encoder
 from .range_coder import decode_segment, encode_segment
 
-END_ID, SEGMENT_IDS = 0, 1 << 21
+END_ID, SEGMENT_IDS = 0, 1 << 22
+#: Pieces that a generation of known ones holds; two are held.
+_GENERATION = 1 << 18
 SEGMENTS = "part int, seq int, start long, n_ids long, doc_ids array<long>, sizes array<long>, data binary"
 
 
-def _segments(ids: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most so many ids, one document at least."""
-    first, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
-            yield first, i
-            first, held = i, 0
-        held += n
-    if first < len(sizes):
-        yield first, len(sizes)
+def _segments(slices: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Whole documents of at most so many ids, one document at least: their doc_ids, sizes and ids, as the slices have them."""
+    held, room = [], most
+    for names, sizes, ids in slices:
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            begin = int(ends[first] - sizes[first])
+            last = max(int(np.searchsorted(ends, begin + room, "right")), first + (not held))
+            if last > first:
+                held.append((names.slice(first, last - first), sizes[first:last], ids[begin : ends[last - 1]]))
+                first, room = last, room - int(ends[last - 1] - begin)
+            if first < len(sizes):
+                yield _joined(held)
+                held, room = [], most
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    names, sizes, ids = zip(*held)
+    return pa.concat_arrays(names), np.concatenate(sizes), np.concatenate(ids)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every document and write the files."""
 
-    def encoded(batches):
-        enc, part, seq, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+    def slices(batches):
+        enc = encoder(tokenizer, _GENERATION)
         for batch in batches:
             texts = batch.column(1)
             for lo, hi in slices_of(texts, SLICE_BYTES):
                 ids, sizes = enc.encode(texts.slice(lo, hi - lo))
-                ids, sizes = np.insert(ids, np.cumsum(sizes), END_ID), sizes + 1
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                names = batch.column(0).slice(lo, hi - lo)
-                for a, b in _segments(ids, sizes, segment_ids):
-                    n = int(ends[b] - ends[a])
-                    row = [part, seq, start, n, names.slice(a, b - a).to_pylist(), sizes[a:b].tolist(), encode_segment(ids[ends[a] : ends[b]])]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
-                    seq, start = seq + 1, start + n
+                yield batch.column(0).slice(lo, hi - lo), sizes + 1, np.insert(ids, np.cumsum(sizes), END_ID)
+
+    def encoded(batches):
+        part, start = TaskContext.get().partitionId(), 0
+        for seq, (names, sizes, ids) in enumerate(_segments(slices(batches), segment_ids)):
+            row = [part, seq, start, len(ids), names.to_pylist(), sizes.tolist(), encode_segment(ids)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
+            start += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

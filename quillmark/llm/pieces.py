@@ -134,7 +134,7 @@ class _Memory:
 class PieceEncoder:
     """Ids of texts as the tokenizers library gives them, without special tokens of its own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = _GENERATION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,29 +146,53 @@ class PieceEncoder:
         self._opens = re.compile("[" + re.escape("".join({t["content"][0] for t in added})) + "]") if added else None
         plain = [t for t in added if t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
         self._mark = plain[0] if plain else None
-        self._memory = _Memory(self._encode_pieces)
+        # A space and printed ASCII characters that begin no added token, or letters of the block Latin-1; and the bytes of each id, if a token's characters are bytes.
+        printed = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in {t["content"][0] for t in added})
+        self._word = re.compile(" [" + re.escape(printed) + "À-ÖØ-öø-ÿ]+")
+        self._bytes = None
+        if self.by_piece and not config.get("normalizer") and '"ByteLevel"' in json.dumps(config.get("pre_tokenizer")):
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self._bytes = np.zeros(max([*vocabulary.values(), *(t["id"] for t in added)]) + 1, np.int64)
+            self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self._memory = _Memory(self._encode_pieces, generation)
 
     def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _marked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces go into one string, with a special token between them."""
+        joined = [self._mark["content"].join(pieces[i : i + _PIECES_A_STRING]) for i in range(0, len(pieces), _PIECES_A_STRING)]
+        flat, _ = self._encode([x + self._mark["content"] for x in joined])
+        ends = np.flatnonzero(flat == self._mark["id"])
+        return flat[flat != self._mark["id"]], np.diff(ends, prepend=-1) - 1
+
+    def _chained(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words go into one string as they are, since there is a cut before each one's space; the ids' bytes tell where each ends."""
+        ids, _ = self._encode(["".join(words[i : i + _PIECES_A_STRING]) for i in range(0, len(words), _PIECES_A_STRING)])
+        ends, at = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))), np.cumsum(self._bytes[ids])
+        last = np.searchsorted(at, ends)
+        if len(words) and not (len(ids) == last[-1] + 1 and (at[last] == ends).all()):
+            return self._marked(words)
+        return ids, np.diff(last, prepend=-1)
+
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for each piece. Many pieces go into one string, with a special token between them."""
+        """Ids and their number for each piece."""
         if self._mark is None or not pieces:
             return self._encode(pieces)
-        alone = np.fromiter((bool(self._opens.search(p)) for p in pieces), bool, len(pieces))
-        others = [p for p, x in zip(pieces, alone) if not x]
-        joined = [self._mark["content"].join(others[i : i + _PIECES_A_STRING]) for i in range(0, len(others), _PIECES_A_STRING)]
-        flat, _ = self._encode([x + self._mark["content"] for x in joined])
-        ends = np.flatnonzero(flat == self._mark["id"])
-        sizes = np.empty(len(pieces), np.int64)
-        sizes[~alone] = np.diff(ends, prepend=-1) - 1
-        ids = flat[flat != self._mark["id"]]
-        if not alone.any():
-            return ids, sizes
-        special, sizes[alone] = self._encode([p for p, x in zip(pieces, alone) if x])
-        out, at = np.empty(int(sizes.sum()), np.uint32), np.repeat(alone, sizes)
-        out[at], out[~at] = special, ids
+        words = map(self._word.fullmatch, pieces) if self._bytes is not None else repeat(None)
+        kinds = np.fromiter([0 if w else 2 if self._opens.search(p) else 1 for w, p in zip(words, pieces)], np.uint8, len(pieces))
+        sizes, found = np.empty(len(pieces), np.int64), []
+        for kind, way in enumerate((self._chained, self._marked, self._encode)):
+            chosen = kinds == kind
+            if chosen.all():
+                return way(pieces)
+            if chosen.any():
+                ids, sizes[chosen] = way([pieces[i] for i in np.flatnonzero(chosen).tolist()])
+                found.append((kind, ids))
+        out, at = np.empty(int(sizes.sum()), np.uint32), np.repeat(kinds, sizes)
+        for kind, ids in found:
+            out[at == kind] = ids
         return out, sizes
 
     def _codes(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -207,6 +231,6 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and tokenizer file."""
-    return PieceEncoder(path)
+def encoder(path: str, generation: int = _GENERATION) -> PieceEncoder:
+    """One encoder for each worker process, tokenizer file and size of its memory."""
+    return PieceEncoder(path, generation)

@@ -1,152 +1,194 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-Ids are coded by nibbles, the highest first. For each nibble three predictions are mixed: the
-frequencies of nibbles under the same higher nibbles (order 0), and the ids that last followed
-the previous id (order 1) and the previous two (order 2). An id prediction adds to its nibble's
-frequency as much as its record deserves, by its confidence and the nibble's rank: with hits h
-and misses m so far, h / m of what all nibbles have. All models begin anew in every block and
-hold integers only, so a decoder repeats the encoder's steps exactly.
-
-Blocks are independent, so all blocks of a segment take each step together, in NumPy arrays
-with an element for each block. A segment's bytes are, little-endian: MAGIC, the number of
-blocks; of each block its ids, its bytes and the CRC-32 of its ids as 32-bit integers; then
-the blocks' bytes. Empty segments have no blocks. Ids of over 16 bits are coded in halves: WIDE,
-the bytes of the segment of the higher halves, and the segments of the higher and the lower ones.
+Three predictions are mixed for each id: the frequencies of all ids so far (order 0), and the
+ids expected behind the previous id (order 1) and behind the previous two (order 2). An id's
+share of the range is the weighted sum of what they give it. The weights, in 64ths, depend on how
+often the two expected ids have held of late, and follow the record of such pairs; order 0 has
+one 64th at least, and gives every id of the segment's alphabet a part. An expected id that fails
+loses trust first and its place then.
+
+All blocks of a segment take each step together, in NumPy arrays with an element for each block,
+and share the models, which learn from all of them after the step; frequencies are renewed when
+the steps have grown by half. Models begin anew in every segment and hold integers only, so a
+decoder repeats the encoder's steps exactly. A block cannot be decoded without the others.
+
+A segment's bytes are, little-endian: MAGIC, the number of blocks; of each block its ids, its
+bytes and the CRC-32 of its ids as 32-bit integers; the size of the alphabet, and the CRC-32 of
+all that; then the blocks' bytes. Empty segments have no blocks. Ids of over 16 bits are coded in
+halves: WIDE, the bytes of the segment of the higher halves, and the segments of the higher and
+the lower ones.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC, WIDE, BLOCK_IDS = b"QMT1", b"QMT2", 4096
-#: Nodes above the nibbles of ranks 0 to 3, and slots of the tables of followers.
-_NODES, _SLOTS = (0, 1, 17, 273), 1 << 12
-_RAISE, _LIMIT, _MOST_GAIN = 24, 2048, 24
+MAGIC, WIDE, BLOCK_IDS = b"QMT3", b"QMT4", 512
+#: Bits of the weights, of the frequencies, and of both together: what the range is divided by.
+_WEIGHT, _PART = 6, 20
+_WHOLE = _WEIGHT + _PART
+#: Slots for what follows two ids, and bits of the trust in an expected id.
+_SLOTS, _TRUST = 1 << 18, 3
+_MOST = (1 << _TRUST) - 1
+#: Steps from one renewal of the weights to the next, and what an id adds to its frequency.
+_EVERY, _RAISE = 8, 8
 #: Bits of the range kept free, and of a digit that is put out.
-_FLOOR, _DIGIT = 1 << 32, 16
+_FLOOR, _DIGIT = 30, 32
 
 
 class SegmentError(ValueError):
-    """The bytes are no segment, or a block's checksum does not hold."""
+    """The bytes are no segment, or a checksum does not hold."""
 
 
 class _Encoder:
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-        self.out, self.at = np.zeros((lanes, 64), np.int64), np.zeros(lanes, np.int64)
-
-    def code(self, lane: np.ndarray, rows: np.ndarray, cum: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        n = len(lane)
-        unit = self.range[:n] // cum[:, -1]
-        width, top = rows[lane, symbol], cum[lane, symbol]
-        self.low[:n] += unit * (top - width)
-        self.range[:n] = unit * width
-        self._shift(np.flatnonzero(self.range[:n] < _FLOOR))
-        return symbol
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << _FLOOR + _DIGIT, np.int64)
+        self.out, self.at = np.zeros((16, lanes), np.int64), np.zeros(lanes, np.int64)
+
+    def code(self, mix: _Mixer, ids: np.ndarray) -> np.ndarray:
+        n = len(ids)
+        begin, width = mix.interval(ids)
+        unit = self.range[:n] >> _WHOLE
+        self.low[:n] += unit * begin
+        unit *= width
+        self.range[:n] = unit
+        self._shift(np.flatnonzero(unit < 1 << _FLOOR))
+        return ids
 
     def _shift(self, full: np.ndarray) -> None:
-        if self.at.max(initial=0) + 4 > self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        # A digit may exceed its 16 bits by a carry, which is settled at the end.
-        self.out[full, self.at[full]] = self.low[full] >> 32
-        self.at[full] += 1
-        self.low[full] = (self.low[full] & (_FLOOR - 1)) << _DIGIT
+        at = self.at.take(full)
+        if at.max(initial=0) >= len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
+        low = self.low.take(full)
+        # A digit may exceed its 32 bits by a carry, which is settled at the end.
+        self.out[at, full] = low >> _FLOOR
+        self.at[full] = at + 1
+        self.low[full] = (low & (1 << _FLOOR) - 1) << _DIGIT
         self.range[full] <<= _DIGIT
 
-    def finish(self) -> list[bytes]:
-        everyone = np.arange(len(self.low))
-        for _ in range(3):
-            self._shift(everyone)
-        for k in range(self.out.shape[1] - 1, 0, -1):
-            self.out[:, k - 1] += self.out[:, k] >> _DIGIT
-        digits = (self.out & 0xFFFF).astype("<u2")
-        return [digits[i, : self.at[i]].tobytes() for i in everyone]
+    def finish(self) -> tuple[np.ndarray, bytes]:
+        """Each block's number of bytes, and the bytes of all."""
+        for _ in range(2):
+            self._shift(np.arange(len(self.low)))
+        for k in range(len(self.out) - 1, 0, -1):
+            self.out[k - 1] += self.out[k] >> _DIGIT
+        digits = self.out.T.astype("<u4")
+        return self.at * 4, digits[np.arange(len(self.out)) < self.at[:, None]].tobytes()
 
 
 class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        digits = [np.frombuffer(p, "<u2") for p in payloads]
-        self.digits = np.zeros((len(digits), max(map(len, digits)) + 1), np.int64)
-        for i, d in enumerate(digits):
-            self.digits[i, : len(d)] = d
-        self.at, self.range = np.full(len(digits), 3), np.full(len(digits), 1 << 48, np.int64)
-        self.value = self.digits[:, 0] << 32 | self.digits[:, 1] << 16 | self.digits[:, 2]
-
-    def code(self, lane: np.ndarray, rows: np.ndarray, cum: np.ndarray, _) -> np.ndarray:
-        n = len(lane)
-        unit = self.range[:n] // cum[:, -1]
-        slot = np.minimum(self.value[:n] // unit, cum[:, -1] - 1)
-        symbol = (cum <= slot[:, None]).sum(axis=1)
-        width, top = rows[lane, symbol], cum[lane, symbol]
-        self.value[:n] -= unit * (top - width)
-        self.range[:n] = unit * width
-        full = np.flatnonzero(self.range[:n] < _FLOOR)
-        self.value[full] = self.value[full] << _DIGIT | self.digits[full, np.minimum(self.at[full], self.digits.shape[1] - 1)]
-        self.at[full] += 1
+    def __init__(self, sizes: np.ndarray, payloads: bytes):
+        digits = np.frombuffer(payloads, "<u4").astype(np.int64)
+        first = np.cumsum(sizes >> 2) - (sizes >> 2)
+        # The value holds 62 bits, so it ends amid a digit; `next` has the 32 bits that follow such an end.
+        self.value = digits[first] << _FLOOR | digits[first + 1] >> _DIGIT - _FLOOR
+        self.next = digits >> _DIGIT - _FLOOR
+        self.next[1:] |= (digits[:-1] & (1 << _DIGIT - _FLOOR) - 1) << _FLOOR
+        self.at, self.range = first + 2, np.full(len(sizes), 1 << _FLOOR + _DIGIT, np.int64)
+
+    def code(self, mix: _Mixer, n: int) -> np.ndarray:
+        value, unit = self.value[:n], self.range[:n] >> _WHOLE
+        place = (value.view(np.uint64) // unit.view(np.uint64)).view(np.int64)
+        ids = mix.find(np.minimum(place, (1 << _WHOLE) - 1).astype(np.int32))
+        begin, width = mix.interval(ids)
+        value -= unit * begin
+        unit *= width
+        self.range[:n] = unit
+        full = np.flatnonzero(unit < 1 << _FLOOR)
+        at = self.at.take(full)
+        value[full] = value.take(full) << _DIGIT | self.next.take(at, mode="clip")
+        self.at[full] = at + 1
         self.range[full] <<= _DIGIT
-        return symbol
-
-
-class _Models:
-    """The adaptive models of all blocks, a lane for each."""
-
-    def __init__(self, lanes: int):
-        self.nibbles = np.ones((lanes * 4369, 16), np.uint16)
-        self.totals = np.full(lanes * 4369, 16, np.int32)
-        self.followers = np.zeros((2, lanes * _SLOTS), np.int32)
-        self.sure = np.zeros((2, lanes * _SLOTS), np.int8)
-        # Hits and misses by order, confidence and nibble rank.
-        self.hits, self.misses = np.ones((2, lanes * 16), np.int32), np.full((2, lanes * 16), 2, np.int32)
-
-    def step(self, coder, lane: np.ndarray, last: np.ndarray, before: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Code one id in each lane and learn it."""
-        slots = [lane * _SLOTS + ((last * 40503) >> 4 & _SLOTS - 1), lane * _SLOTS + ((last * 40503 + before * 30011) >> 3 & _SLOTS - 1)]
-        guess = [self.followers[k][slots[k]] for k in (0, 1)]
-        sure = [self.sure[k][slots[k]] for k in (0, 1)]
-        record = [lane * 16 + sure[k] * 4 for k in (0, 1)]
-        alive = [np.flatnonzero(sure[k]) for k in (0, 1)]
-        found = np.zeros(len(lane), np.int64)
-        for rank, shift in enumerate((12, 8, 4, 0)):
-            at = lane * 4369 + (found + _NODES[rank])
-            rows = self.nibbles[at].astype(np.int32)
-            nibble, tried = [], []
-            for k in (0, 1):  # alive: lanes whose prediction has held for the higher nibbles
-                live = alive[k]
-                nibble.append(guess[k][live] >> shift & 15)
-                tried.append(record[k][live] + rank)
-                total = self.totals[at[live]]
-                rows[live, nibble[k]] += np.minimum(total * self.hits[k][tried[k]] // self.misses[k][tried[k]], _MOST_GAIN * total)
-            symbol = coder.code(lane, rows, rows.cumsum(axis=1, dtype=np.int32), None if ids is None else ids >> shift & 15)
-            for k in (0, 1):
-                right = nibble[k] == symbol[alive[k]]
-                self.hits[k][tried[k][right]] += 1
-                self.misses[k][tried[k][~right]] += 1
-                alive[k] = alive[k][right]
-            self.nibbles[at, symbol] += _RAISE
-            self.totals[at] += _RAISE
-            if len(over := at[self.totals[at] > _LIMIT]):
-                self.nibbles[over] = (self.nibbles[over] + 1) >> 1
-                self.totals[over] = self.nibbles[over].sum(axis=1)
-            found = found << 4 | symbol
-        for k in (0, 1):
-            right = guess[k] == found
-            self.followers[k][slots[k]] = found
-            self.sure[k][slots[k]] = np.where(right & (sure[k] > 0), np.minimum(sure[k] + 1, 3), 1)
-        return found
-
-
-def _run(coder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """All steps of all blocks; sizes fall from block to block."""
-    models, out = _Models(len(sizes)), np.zeros((len(sizes), int(sizes.max())), np.int64)
-    last, before = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for t in range(out.shape[1]):
-        n = int(np.count_nonzero(sizes > t))
-        lane = np.arange(n)
-        out[:n, t] = models.step(coder, lane, last[:n], before[:n], None if ids is None else ids[:n, t])
-        before[:n], last[:n] = last[:n], out[:n, t]
+        return ids
+
+
+class _Mixer:
+    """The adaptive models that all blocks share, and the mixture for the step at hand."""
+
+    def __init__(self, symbols: int):
+        self.seen = np.ones(symbols, np.int64)
+        # The expected id and, in the lowest bits, the trust in it, by the last id and by the last two.
+        self.after = np.zeros(1 << 16, np.int32), np.zeros(_SLOTS, np.int32)
+        # By the trust in both: how often such a pair stood there, and how often the first and the second held.
+        self.stood, self.held = np.full(1 << 2 * _TRUST, 4, np.int64), np.ones((2, 1 << 2 * _TRUST), np.int64)
+        self.weigh()
+        self.count(np.zeros(0, np.int32))
+
+    def count(self, ids: np.ndarray) -> None:
+        """Renew the frequencies by these ids."""
+        self.seen += np.bincount(ids, minlength=len(self.seen)) * _RAISE
+        part = 1 + self.seen * ((1 << _PART) - len(self.seen)) // self.seen.sum()
+        part[part.argmax()] += (1 << _PART) - part.sum()
+        self.part, self.below = part.astype(np.int32), (np.cumsum(part) - part).astype(np.int32)
+        self.symbol = np.repeat(np.arange(len(part), dtype=np.uint16), part)
+
+    def weigh(self) -> None:
+        """Renew the weights by the record. What both expect counts for the second."""
+        most = (1 << _WEIGHT) - 1
+        first, second = (self.held << _WEIGHT) // self.stood
+        second = np.minimum(second, most)
+        first = np.minimum(first, most - second)
+        rest = most + 1 - first - second
+        self.weights = [w.astype(np.int32) for w in (first << _PART, second << _PART, rest)]
+        self.inverse = -(-(1 << 32) // rest)  # a place, below 2^26, times this has the quotient above bit 32
+
+    def expect(self, last: np.ndarray, before: np.ndarray) -> None:
+        self.slots = last, (last * 0x9E3779B1 ^ before * 0x85EBCA77) >> 15 & _SLOTS - 1
+        self.found = [a.take(s) for a, s in zip(self.after, self.slots)]
+        self.guess = [f >> _TRUST for f in self.found]
+        self.trust = [f & _MOST for f in self.found]
+        self.pair = self.trust[0] << _TRUST | self.trust[1]
+        self.first, self.second, self.rest = (w.take(self.pair) for w in self.weights)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of these ids begin, and how wide they are."""
+        self.right = [g == ids for g in self.guess]
+        begin, width = self.rest * self.below.take(ids), self.rest * self.part.take(ids)
+        for weight, guess, right in zip((self.first, self.second), self.guess, self.right):
+            begin += weight * (guess < ids)
+            width += weight * right
+        return begin, width
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids in whose shares these places lie."""
+        (one, two), (first, second) = self.guess, (self.first, self.second)
+        # Take out what the two expected ids have beyond order 0; a place within it falls on the id's first place there.
+        over_one = place - self.rest * self.below.take(one) - second * (two < one)
+        over_two = place - self.rest * self.below.take(two) - first * (one <= two)
+        plain = place - np.minimum(np.maximum(over_one, 0), first) - np.minimum(np.maximum(over_two, 0), second)
+        return self.symbol.take(plain * self.inverse.take(self.pair) >> 32).astype(np.int32)
+
+    def learn(self, ids: np.ndarray, record: bool) -> None:
+        fresh = ids << _TRUST | 1
+        for after, slots, found, trust, right in zip(self.after, self.slots, self.found, self.trust, self.right):
+            # Where blocks share a slot, the last one's value stays.
+            after[slots] = np.where(right | (trust > 1), found + right * (np.int8(1) + (trust < _MOST)) - 1, fresh)
+        if record:
+            one, two = self.right
+            for counts, pairs in ((self.stood, self.pair), (self.held[0], self.pair[one & ~two]), (self.held[1], self.pair[two])):
+                counts += np.bincount(pairs, minlength=len(counts))
+            self.weigh()
+
+
+def _run(coder, sizes: np.ndarray, symbols: int, ids: np.ndarray | None = None) -> np.ndarray:
+    """All steps of all blocks, a row for each step; sizes fall from block to block."""
+    mix, steps = _Mixer(symbols), int(sizes[0])
+    out = np.zeros((steps, len(sizes)), np.int32) if ids is None else ids
+    last, before = np.zeros((2, len(sizes)), np.int64)
+    counted, due = 0, 1
+    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(1, steps + 1), "right").tolist()):
+        if t == due:
+            mix.count(out[counted:t].ravel())
+            counted, due = t, t + 1 + t // 2
+        mix.expect(last[:n], before[:n])
+        found = coder.code(mix, n if ids is None else ids[t, :n])
+        mix.learn(found, t < _EVERY or t % _EVERY == 0)
+        out[t, :n] = found
+        last, before = found.astype(np.int64), last
     return out
 
 
@@ -155,18 +197,20 @@ def encode_segment(ids: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) >= 1 << 16:
         high, low = encode_segment(ids >> 16), encode_segment(ids & 0xFFFF)
         return WIDE + struct.pack("<I", len(high)) + high + low
-    blocks = -(-len(ids) // BLOCK_IDS)
-    if not blocks:
+    if not len(ids):
         return MAGIC + struct.pack("<I", 0)
-    sizes = np.minimum(BLOCK_IDS, len(ids) - BLOCK_IDS * np.arange(blocks))
-    table = np.zeros((blocks, BLOCK_IDS), np.int64)
-    table.ravel()[: len(ids)] = ids
+    block = min(BLOCK_IDS, max(64, math.isqrt(len(ids))))  # few ids: fewer steps, as each has its cost
+    blocks = -(-len(ids) // block)
+    sizes = np.minimum(block, len(ids) - block * np.arange(blocks))
+    table, symbols = np.zeros(blocks * block, np.int32), int(ids.max()) + 1
+    table[: len(ids)] = ids
     coder = _Encoder(blocks)
-    _run(coder, sizes, table)
-    payloads = coder.finish()
+    _run(coder, sizes, symbols, np.ascontiguousarray(table.reshape(blocks, block).T[: sizes[0]]))
+    lengths, payloads = coder.finish()
     raw = memoryview(ids.astype("<u4").tobytes())
-    heads = [struct.pack("<III", n, len(p), zlib.crc32(raw[4 * BLOCK_IDS * i : 4 * (BLOCK_IDS * i + int(n))])) for i, (n, p) in enumerate(zip(sizes, payloads))]
-    return b"".join([MAGIC, struct.pack("<I", blocks), *heads, *payloads])
+    heads = [struct.pack("<III", n, k, zlib.crc32(raw[4 * block * i : 4 * (block * i + n)])) for i, (n, k) in enumerate(zip(sizes.tolist(), lengths.tolist()))]
+    front = b"".join([MAGIC, struct.pack("<I", blocks), *heads, struct.pack("<I", symbols)])
+    return front + struct.pack("<I", zlib.crc32(front)) + payloads
 
 
 def decode_segment(data: bytes) -> np.ndarray:
@@ -177,19 +221,18 @@ def decode_segment(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC or len(data) < 8:
         raise SegmentError("no segment of token ids")
     (blocks,) = struct.unpack_from("<I", data, 4)
-    at = 8 + 12 * blocks
-    if not blocks:
+    if not blocks and len(data) == 8:
         return np.zeros(0, np.uint32)
-    heads = list(struct.iter_unpack("<III", data[8:at]))
-    payloads = []
-    for _, size, _ in heads:
-        payloads.append(data[at : at + size])
-        at += size
-    sizes = np.array([n for n, _, _ in heads])
-    table = _run(_Decoder(payloads), sizes, None)
-    ids = np.concatenate([table[i, :n] for i, n in enumerate(sizes)]).astype("<u4")
+    at = 12 + 12 * blocks
+    if not blocks or len(data) < at + 4 or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+        raise SegmentError("the checksum of the head does not hold")
+    sizes, lengths, crcs = np.frombuffer(data[8 : at - 4], "<u4").reshape(blocks, 3).T.astype(np.int64)
+    if len(data) != at + 4 + lengths.sum():
+        raise SegmentError("the blocks' bytes are not all there")
+    table = _run(_Decoder(lengths, data[at + 4 :]), sizes, struct.unpack_from("<I", data, at - 4)[0])
+    ids = np.ascontiguousarray(table.T)[np.arange(len(table)) < sizes[:, None]].astype("<u4")
     raw, begin = memoryview(ids.tobytes()), 0
-    for i, (n, _, crc) in enumerate(heads):
+    for i, (n, crc) in enumerate(zip(sizes.tolist(), crcs.tolist())):
         if zlib.crc32(raw[4 * begin : 4 * (begin + n)]) != crc:
             raise SegmentError(f"the checksum of block {i} does not hold")
         begin += n

@@ -6,7 +6,7 @@ and blank priorities in places, and some keys of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -471,9 +471,13 @@ def preview_limit(spark, sf_dir):
 _FILE_ROWS = 50
 
 
+def _file(key: Column) -> Column:
+    return F.floor(key / _FILE_ROWS).alias("file")
+
+
 def _files(rows: DataFrame, key: str, text: str, separator: str) -> DataFrame:
-    """`text` of files of _FILE_ROWS neighbouring keys each, every row rendered in key order."""
-    listed = rows.groupBy(F.floor(F.col(key) / _FILE_ROWS).alias("file")).agg(F.sort_array(F.collect_list(F.struct(key, text))).alias("rows"))
+    """`text` of each `file` of _FILE_ROWS neighbouring keys, every row rendered in key order."""
+    listed = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(key, text))).alias("rows"))
     return listed.select("file", F.array_join(F.transform("rows", lambda r: r[text]), separator).alias("text"))
 
 
@@ -485,7 +489,7 @@ def po_roundtrip(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
     msgstr = F.concat("p_type", F.lit("\t\\"), "p_brand")
     entry = po.entry_text(F.concat(F.lit(NAMES), F.upper("p_name"), F.lit("_"), F.col("p_partkey").cast("string")), F.concat("p_name", F.lit(' "'), F.col("p_size").cast("string"), F.lit('"')), msgstr)
-    files = _files(part.select("p_partkey", entry.alias("t")), "p_partkey", "t", "\n\n")
+    files = _files(part.select(_file(F.col("p_partkey")), "p_partkey", entry.alias("t")), "p_partkey", "t", "\n\n")
     return item_rows(po.read_entries(files, "text")).drop("pos")
 
 
@@ -500,13 +504,15 @@ def recipe_roundtrip(spark, sf_dir):
     from .tables import RECIPE_TABLE, recipe_rows
 
     k = F.col("l_orderkey")
-    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c.strip()) for c in _SLOT_ORDER.split(","))))).alias("items"))
+    slot = F.struct(*(F.col(c.strip()) for c in _SLOT_ORDER.split(",")))
+    slots = _read(spark, sf_dir, "lineitem").select(_file(k), "l_orderkey", slot.alias("slot")).repartition("file")  # the one shuffle: by order it would take two
+    items = slots.groupBy("file", "l_orderkey").agg(F.sort_array(F.collect_list("slot")).alias("items"))
     calls = F.array_join(F.transform("items", lambda i: F.concat(F.lit('Ingredient("p'), i["l_partkey"].cast("string"), F.lit('", '), F.round(i["l_quantity"]).cast("int").cast("string"), F.lit(")"))), ", ")
     options = F.concat_ws(", ", F.when(k % 2 == 0, F.lit('product = "thing"')), F.when(k % 3 == 0, F.lit("numtogive=2")), F.when(k % 7 == 0, F.lit("nounlock = true")))
     name = F.concat(F.lit('Recipe2("order_'), k.cast("string"), F.lit('", {'))
     tech = F.concat(F.lit("}, TECH."), F.when(k % 5 == 0, "NONE").otherwise("MAGIC_TWO"), F.lit(", {"))
     call = F.concat(name, calls, tech, options, F.lit("})"))
-    files = _files(items.select("l_orderkey", call.alias("t")), "l_orderkey", "t", "\n-- next\n")
+    files = _files(items.select("file", "l_orderkey", call.alias("t")), "l_orderkey", "t", "\n-- next\n")
     wanted = [n for n in RECIPE_TABLE.names() if n.startswith(("ingredient", "amount"))]
     return recipe_rows(lua.read_recipes(files, "text")).select("recipe_name", *wanted, "product", "numtogive", "tech", "nounlock")
 

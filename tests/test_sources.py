@@ -1,9 +1,10 @@
 import json
+import re
 import zipfile
 
 import pytest
 
-from quillmark.plans import jobs
+from quillmark.plans import catalogue, jobs
 from quillmark.plans.tables import ITEM_TABLE, RECIPE_TABLE, recipe_rows
 from quillmark.sources import archive, lua, pages, po, tabular
 
@@ -60,6 +61,61 @@ def test_recipes_with_options_constants_and_images():
     assert lua.recipes(None) == [] == lua.recipes("")
 
 
+_PLAIN_OR_NEARLY = """
+Recipe2("a", {}, TECH.NONE)
+Recipe2 ( ' b ' , { Ingredient("x y", 3), Ingredient('say "q"', 12), } , TECH.X_1 , { numtogive = 2, product = "Ingredient('z', 1)", nounlock=true, min_spacing = 0.5, actionstr = 'k = "v"', image = 7, no_deconstruction = "s", odd = 1, } ) -- c
+--[[ Recipe2("no", {}, TECH.NONE) ]] Recipe2("c", {Ingredient("x", 1)}, TECH.X, {}) Recipe2("d", {}, TECH.X) order = 1
+Recipe2("e\\"f", {Ingredient("x", 1)}, TECH.X) Recipe2("g", {Ingredient("x", 2147483648), Ingredient("y", 1.5), Ingredient("z", N)}, TECH.X, {numtogive = 0x10})
+Recipe2("h", {Ingredient("x", 1, nil, nil, "t.tex")}, TECH.X, {testfn = function() Recipe2("no", {}, TECH.X) end, product = P})
+Recipe2("i", {Ingredient("x", 1)}, NONE) Recipe2("j", L, TECH.X) foo.Recipe2("no", {}, TECH.X) x = Recipe2("no", {}, TECH.X)
+Recipe2("no", {}, TECH.X) and 1 Recipe2("no", {}, TECH.X).y = 2 Recipe2("k", {}, TECH.X); Recipe2("l", {}, TECH.X) --[[ open
+for i = 1, 2 do Recipe2("m", {}, TECH.X) Recipe2("n"..i, {}, TECH.X) end if x then Recipe2("no", {}, TECH.X) end
+local N, P, L = 4, "late", {Ingredient("y", 2)}
+Recipe2("o", {}, TECH.X)"""
+
+
+def _read_or_error(source):
+    try:
+        return lua.recipes(source)
+    except IndexError:  # broken off inside brackets
+        return None
+
+
+def test_recipes_written_out_are_read_as_by_the_general_way(monkeypatch):
+    sources = [_PLAIN_OR_NEARLY[:e] for e in range(len(_PLAIN_OR_NEARLY) + 1)]
+    read = lambda: [_read_or_error(s) for s in sources] + [lua.locate(_PLAIN_OR_NEARLY, n) for n in ("order", "P")]
+    got = read()
+    monkeypatch.setattr(lua, "_PLAIN", re.compile("(?!)"))
+    assert got == read()
+    assert [r["name"] for r in got[len(sources) - 1]] == ["a", "b", "c", "d", 'e\\"f', "g", "h", "j", "k", "l", "m", "n1", "m", "n2", "o"]
+
+
+def test_recipes_written_out_are_not_cut_into_tokens():
+    plain = "\n-- next\n".join(f'Recipe2("r{i}", {{Ingredient("x", {i}), Ingredient("y", 2)}}, TECH.X, {{product = "p", nounlock = true}})' for i in range(500))
+    parser = lua.Parser(plain + "\nRecipe2(N, {}, TECH.X)\nlocal N = 'last'\n" + plain)
+    parser.block()
+    assert len(parser.tokens) < 30
+    assert [r["name"] for r in lua.recipes(plain + "\nRecipe2(N, {}, TECH.X)\nlocal N = 'last'")] == [f"r{i}" for i in range(500)] + ["last"]
+
+
+def test_recipes_leave_python_in_arrow_batches(spark, monkeypatch):
+    monkeypatch.setattr(lua, "_ROWS_AT_ONCE", 3)
+    texts = [(i, t) for i, t in enumerate(['Recipe2("a", {Ingredient("x", 1), Ingredient("y", 2)}, TECH.X, {numtogive=2})\n' * 7, None, "", 'Recipe2("b", {}, TECH.Y)', 'Recipe2("c"..1, {Ingredient("z", 3, nil, nil, "i")}, TECH.Z, {min_spacing=0.5, nounlock=false})'])]
+    files = spark.createDataFrame(texts, "name int, text string").repartition(1)
+    found = lua.read_recipes(files, "text", "name")
+    assert found.columns[:3] == ["name", "pos", "name"] and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    want = [(i, pos, *(r.get(n) for n in lua._FIELDS[1:])) for i, t in texts for pos, r in enumerate(lua.recipes(t))]
+    got = sorted((tuple(r) for r in found.collect()), key=lambda r: r[:2])
+    assert [(*r[:3], [tuple(x) for x in r[3]], *r[4:]) for r in got] == want and len(got) == 9
+    lua.register(spark)
+    assert spark.sql("SELECT name, numtogive FROM lua_recipes('Recipe2(\"a\", {}, TECH.X, {numtogive=3})')").collect() == [("a", 3)]
+
+
+def test_recipe_roundtrip_shuffles_once(spark):
+    plan = catalogue.recipe_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_spans():
     source = "-- é\nlocal A = { 1 }\nB = 'x'\nC.d.e = function() return 1 end\nF = 2\n"
     assert lua.locate(source, "A") == (6, 21, "local A = { 1 }", True)
